@@ -1,0 +1 @@
+"""Intentionally empty: the engine reproduced here has no streaming surface."""
