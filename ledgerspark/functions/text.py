@@ -73,15 +73,19 @@ def tokens(col: Column, stop_words: Iterable[str] = C.STOP_WORDS) -> Column:
     return F.filter(words, lambda w: ~w.isin(stop)) if stop else words
 
 
+def _runs(words: Column, n: int) -> Column:
+    """Every run of ``n`` neighbouring words, joined by blanks."""
+
+    def run(first: Column, i: Column) -> Column:
+        return F.concat_ws(" ", first, *[F.get(words, i + step) for step in range(1, n)])
+
+    starts = F.slice(words, 1, F.greatest(F.size(words) - (n - 1), F.lit(0)))
+    return F.transform(starts, run)
+
+
 def ngrams(words: Column, longest: int = 2) -> Column:
     """The words themselves followed by every run of up to ``longest`` neighbours."""
-    parts = [words]
-    for n in range(2, longest + 1):
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(
-            F.array().cast("array<int>")
-        )
-        parts.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(words, i, n), " ")))
-    return F.concat(*parts) if len(parts) > 1 else words
+    return F.concat(words, *[_runs(words, n) for n in range(2, longest + 1)]) if longest > 1 else words
 
 
 def contains_any(col: Column, needles: Iterable[str]) -> Column:
