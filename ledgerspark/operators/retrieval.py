@@ -16,9 +16,13 @@ from ledgerspark.operators.tfidf import TfidfIndex, query_vectors
 BROADCAST_ROWS = 1_000_000
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether the table has at most ``max_rows`` rows; counts no further than needed."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def vector_rows_bound(queries: DataFrame, text: str, longest_ngram: int) -> int:
+    """At most this many (question, term) rows: a term takes two characters and a separator.
+
+    Needs the text lengths only, so the check costs one scan of the questions.
+    """
+    longest = F.sum(F.floor(F.length(text) / 3) + 1)
+    return (queries.agg(longest).first()[0] or 0) * longest_ngram
 
 
 def expand_query(text: Column, expansions: Mapping[str, str] = C.QUERY_EXPANSIONS) -> Column:
@@ -33,18 +37,20 @@ def needs_explanation(text: Column, terms=C.EXPLANATION_TERMS) -> Column:
     return contains_any(F.lower(text), terms)
 
 
-def score_documents(vectors: DataFrame, index: TfidfIndex, query_id: str, broadcast_rows: int) -> DataFrame:
+def score_documents(
+    vectors: DataFrame, index: TfidfIndex, query_id: str = "question_id", small: bool = True
+) -> DataFrame:
     """Cosine of every question with every document that shares a term.
 
-    Document weights arrive hashed by document. With question vectors of checked size sent to the
-    executors, the sum per (question, document) is local: no pair is ever shuffled. Beyond that
-    size the two tables meet in a shuffle join, whose hot terms adaptive execution splits.
+    Document weights arrive hashed by document. With ``small`` question vectors, whose size the
+    caller has checked, sent to the executors, the sum per (question, document) is local: no pair
+    is ever shuffled. Otherwise the two tables meet in a shuffle join, whose hot terms adaptive
+    execution splits.
     """
-    keys = [*index.spec.scope, "term"]
     queries = vectors.withColumnRenamed("weight", "query_weight")
-    if fits_broadcast(queries, broadcast_rows):
+    if small:
         queries = F.broadcast(queries)
-    pairs = index.weights.join(queries, keys)
+    pairs = index.weights.join(queries, [*index.spec.scope, "term"])
     return pairs.groupBy(*index.spec.scope, index.doc_id, query_id).agg(
         F.sum(F.col("weight") * F.col("query_weight")).alias("score")
     )
@@ -68,16 +74,19 @@ def retrieve(
     query_id: str = "question_id",
     text: str = "text",
     expand: Mapping[str, str] | None = None,
-    broadcast_rows: int = BROADCAST_ROWS,
+    small: bool | None = None,
 ) -> DataFrame:
     """(scope…, question, doc, rank, retrieval_score) for the k most similar documents.
 
-    Documents that share no term with a question are not listed.
+    Documents that share no term with a question are not listed. ``small`` states whether the
+    question vectors may be broadcast; without it their size is checked here.
     """
     if expand is not None:
         questions = questions.withColumn(text, expand_query(F.col(text), expand))
     vectors = query_vectors(questions, index, query_id, text)
-    scores = score_documents(vectors, index, query_id, broadcast_rows)
+    if small is None:
+        small = vector_rows_bound(questions, text, index.spec.longest_ngram) <= BROADCAST_ROWS
+    scores = score_documents(vectors, index, query_id, small)
     return top_documents(scores, k, query_id, index.doc_id)
 
 

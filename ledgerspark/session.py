@@ -19,6 +19,8 @@ def build_session(app_name: str = "ledgerspark", master: str | None = None, **co
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # call-site capture costs a round trip per column expression while a plan is built
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master)
