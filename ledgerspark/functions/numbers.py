@@ -27,21 +27,28 @@ def first_number(col: Column) -> Column:
     return F.coalesce(digits.try_cast("double"), F.lit(0.0))
 
 
+def formatted(pattern: str, *values: Column) -> Column:
+    """``format_string``, but NULL for a NULL value instead of a clipped "null"."""
+    known = values[0].isNotNull()
+    for value in values[1:]:
+        known = known & value.isNotNull()
+    return F.when(known, F.format_string(pattern, *values))
+
+
 def format_value(value: Column, unit: Column) -> Column:
-    """``$1.23B`` for amounts, ``1.23%`` for ratios."""
-    return F.when(unit == "%", F.format_string("%.2f%%", value)).otherwise(
-        F.format_string("$%.2fB", value)
-    )
+    """``$1.23B`` for amounts, ``1.23%`` for ratios, ``n/a`` for a missing value."""
+    shown = F.when(unit == "%", formatted("%.2f%%", value)).otherwise(formatted("$%.2fB", value))
+    return F.coalesce(shown, F.lit("n/a"))
 
 
 def signed_amount(change: Column) -> Column:
     sign = F.when(change >= 0, F.lit("+")).otherwise(F.lit("-"))
-    return F.concat(sign, F.format_string("$%.2fB", F.abs(change)))
+    return F.coalesce(F.concat(sign, formatted("$%.2fB", F.abs(change))), F.lit("n/a"))
 
 
 def signed_percent(change: Column) -> Column:
-    return F.format_string("%+.2f%%", change)
+    return F.coalesce(formatted("%+.2f%%", change), F.lit("n/a"))
 
 
 def signed_points(change: Column) -> Column:
-    return F.format_string("%+.2f percentage points", change)
+    return F.coalesce(formatted("%+.2f percentage points", change), F.lit("n/a"))

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerspark.functions.numbers import format_value, percent_change, signed_percent
+from ledgerspark.functions.numbers import format_value, formatted, percent_change, signed_percent
 from ledgerspark.operators.reshape import series_long
 
 DEFAULT_YEARS = 5
@@ -107,13 +107,13 @@ def kpi_snapshot(summary: DataFrame, fiscal_year: int | None = None) -> DataFram
             2,
             "Operating Income",
             "operating_income_billions",
-            F.format_string("%.2f%% operating margin", "operating_margin_pct"),
+            F.coalesce(formatted("%.2f%% operating margin", F.col("operating_margin_pct")), F.lit("n/a")),
         ),
         card(
             3,
             "Net Income",
             "net_income_billions",
-            F.format_string("%.2f%% net margin", "net_profit_margin_pct"),
+            F.coalesce(formatted("%.2f%% net margin", F.col("net_profit_margin_pct")), F.lit("n/a")),
         ),
         card(4, "Operating Cash Flow", "operating_cash_flow_billions", change_note("cash_flow_growth_pct")),
     )

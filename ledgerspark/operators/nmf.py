@@ -8,10 +8,9 @@ descent, which needs just ``X·Hᵀ`` with ``H·Hᵀ``, and ``Xᵀ·W`` with ``W
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerspark.session import checkpoint_dir
@@ -20,6 +19,8 @@ from ledgerspark.session import checkpoint_dir
 BROADCAST_BYTES = 256 * 1024 * 1024
 # Rows of one term are spread over this many tasks when the term factor is joined by shuffle.
 TERM_SALTS = 16
+# Extra columns carried while the leading vectors are sought.
+OVERSAMPLING = 6
 
 
 @dataclass(frozen=True)
@@ -36,15 +37,19 @@ def _names(k: int) -> list[str]:
     return [f"c{j}" for j in range(k)]
 
 
-def _total(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns)
+def _number(value: float) -> str:
+    return f"{float(value)!r}D"
 
 
-def _gram(factor: DataFrame, k: int, *extra: Column) -> tuple[np.ndarray, tuple]:
+def _dot(factors, columns: list[str]) -> str:
+    """``columns`` weighted by numbers, as SQL: plans are rebuilt every sweep, and text is quickest."""
+    return " + ".join(f"{c} * {_number(f)}" for f, c in zip(factors, columns))
+
+
+def _gram(factor: DataFrame, k: int, *extra: str) -> tuple[np.ndarray, tuple]:
     """``FᵀF`` as a k×k array, and any further aggregates of the same pass."""
-    c = _names(k)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    row = factor.agg(*[F.sum(F.col(c[i]) * F.col(c[j])) for i, j in pairs], *extra).first()
+    row = factor.selectExpr(*[f"sum(c{i} * c{j})" for i, j in pairs], *extra).first()
     gram = np.zeros((k, k))
     for (i, j), value in zip(pairs, row):
         gram[i, j] = gram[j, i] = value or 0.0
@@ -54,28 +59,36 @@ def _gram(factor: DataFrame, k: int, *extra: Column) -> tuple[np.ndarray, tuple]
 def _times(factor: DataFrame, key: str, matrix: np.ndarray) -> DataFrame:
     """Multiply each row by a small matrix."""
     k, m = matrix.shape
-    columns = [
-        _total([F.col(f"c{i}") * float(matrix[i, j]) for i in range(k)]).alias(f"c{j}") for j in range(m)
-    ]
-    return factor.select(key, *columns)
+    return factor.selectExpr(f"`{key}`", *[f"{_dot(matrix[:, j], _names(k))} AS c{j}" for j in range(m)])
 
 
 class _Matrix:
-    """The weights, stored hashed by document, and their products with either factor."""
+    """The weights, stored hashed and sorted by document, and their products with either factor.
 
-    def __init__(self, weights: DataFrame, doc: str, terms: int, width: int):
+    Every product reads them again, so they are kept in executor storage; the checkpoint below is
+    what a lost block is restored from.
+    """
+
+    def __init__(self, weights: DataFrame, doc: str, width: int):
         self.doc = doc
-        self.by_doc = weights.select(doc, "term", "weight").repartition(doc).checkpoint()
-        self.broadcast_terms = terms * (width * 8 + 64) <= BROADCAST_BYTES
+        placed = weights.select(doc, "term", "weight").repartition(doc).sortWithinPartitions(doc)
+        self.by_doc = placed.checkpoint().persist()
+        self.vocabulary = self.by_doc.groupBy("term").agg(F.count("*").alias("df")).checkpoint()
+        self.n_terms = self.vocabulary.count()
+        self.broadcast_terms = self.n_terms * (width * 8 + 64) <= BROADCAST_BYTES
         self.by_term = None
         if not self.broadcast_terms:
             salt = F.pmod(F.xxhash64(doc), F.lit(TERM_SALTS)).cast("int").alias("salt")
-            salted = self.by_doc.select(doc, "term", salt, "weight")
-            self.by_term = salted.repartition("term", "salt").checkpoint()
+            salted = self.by_doc.select(doc, "term", salt, "weight").repartition("term", "salt")
+            self.by_term = salted.sortWithinPartitions("term", "salt").checkpoint().persist()
+
+    def release(self) -> None:
+        for table in (self.by_doc, self.by_term):
+            if table is not None:
+                table.unpersist()
 
     def _sum(self, joined: DataFrame, key: str, k: int) -> DataFrame:
-        sums = [F.sum(F.col("weight") * F.col(c)).alias(c) for c in _names(k)]
-        return joined.groupBy(key).agg(*sums)
+        return joined.groupBy(key).agg(*[F.expr(f"sum(weight * {c}) AS {c}") for c in _names(k)])
 
     def with_terms(self, factor: DataFrame, k: int) -> DataFrame:
         """``X·F`` per document for a factor (term, c0…)."""
@@ -99,15 +112,15 @@ def _orthonormal(factor: DataFrame, key: str, k: int) -> tuple[DataFrame, int]:
     return _times(factor, key, vectors[:, keep] / np.sqrt(values[keep])), int(keep.sum())
 
 
-def _leading_vectors(x: _Matrix, vocabulary: DataFrame, k: int, seed: int, power: int):
+def _leading_vectors(x: _Matrix, k: int, seed: int, power: int):
     """Leading singular values with document and term vectors, by subspace iteration."""
-    width = k + 10
+    width = k + OVERSAMPLING
     # a fixed pseudo-random start derived from the term itself, so reruns and retries agree
     start = [
         (F.pmod(F.xxhash64("term", F.lit(seed * 1000 + j)), F.lit(1 << 32)) / float(1 << 31) - 1.0).alias(f"c{j}")
         for j in range(width)
     ]
-    terms = vocabulary.select("term", *start)
+    terms = x.vocabulary.select("term", *start)
     for step in range(power + 1):
         docs = x.with_terms(terms, width).checkpoint()
         docs, width = _orthonormal(docs, x.doc, width)
@@ -122,9 +135,9 @@ def _leading_vectors(x: _Matrix, vocabulary: DataFrame, k: int, seed: int, power
     return singular, _times(docs, x.doc, rotation), _times(terms, "term", rotation / singular)
 
 
-def _start_factors(x: _Matrix, vocabulary: DataFrame, k: int, fill: float, seed: int, power: int):
+def _start_factors(x: _Matrix, k: int, fill: float, seed: int, power: int):
     """Non-negative start from the leading singular vectors; zeros take the mean of the data."""
-    singular, docs, terms = _leading_vectors(x, vocabulary, k, seed, power)
+    singular, docs, terms = _leading_vectors(x, k, seed, power)
     found = len(singular)
 
     def part_norms(factor: DataFrame):
@@ -161,18 +174,17 @@ def _updated(products: DataFrame, factor: DataFrame, key: str, gram: np.ndarray,
 
     ``violation`` measures how far a row was from optimal, ``fit`` is its share of ``<X, W·H>``.
     """
-    sums = products.select(key, *[F.col(f"c{j}").alias(f"p{j}") for j in range(k)])
+    columns = _names(k)
+    sums = products.selectExpr(f"`{key}`", *[f"c{j} AS p{j}" for j in range(k)])
     rows = factor.join(sums, key).withColumn("violation", F.lit(0.0))
     for j in range(k):
-        slope = _total([F.col(f"c{r}") * float(gram[r, j]) for r in range(k)]) - F.col(f"p{j}")
-        rows = rows.withColumn("slope", slope)
-        projected = F.when(F.col(f"c{j}") == 0, F.least(F.col("slope"), F.lit(0.0))).otherwise(F.col("slope"))
-        rows = rows.withColumn("violation", F.col("violation") + F.abs(projected))
+        slope = f"({_dot(gram[:, j], columns)} - p{j})"
+        step = {"violation": F.expr(f"violation + abs(if(c{j} = 0D, least({slope}, 0D), {slope}))")}
         if gram[j, j] > 0:
-            moved = F.greatest(F.col(f"c{j}") - F.col("slope") / float(gram[j, j]), F.lit(0.0))
-            rows = rows.withColumn(f"c{j}", moved)
-    fit = _total([F.col(f"c{j}") * F.col(f"p{j}") for j in range(k)]).alias("fit")
-    return rows.select(key, *_names(k), "violation", fit)
+            step[f"c{j}"] = F.expr(f"greatest(c{j} - {slope} / {_number(gram[j, j])}, 0D)")
+        rows = rows.withColumns(step)
+    fit = " + ".join(f"c{j} * p{j}" for j in range(k))
+    return rows.selectExpr(f"`{key}`", *columns, "violation", f"{fit} AS fit")
 
 
 def fit_nmf(
@@ -191,14 +203,11 @@ def fit_nmf(
     checkpointed every sweep: plans stay short and a lost executor costs one sweep.
     """
     checkpoint_dir(weights.sparkSession)
-    weights = weights.select(doc_id, "term", "weight").checkpoint()
-    vocabulary = weights.groupBy("term").agg(F.count("*").alias("df")).checkpoint()
-    n_terms = vocabulary.count()
-    if n_terms == 0:
+    x = _Matrix(weights, doc_id, k + OVERSAMPLING)
+    if x.n_terms == 0:
         raise ValueError("no term is left to factorise")
-    x = _Matrix(weights, doc_id, n_terms, k + 10)
     total, squares = x.by_doc.agg(F.sum("weight"), F.sum(F.col("weight") * F.col("weight"))).first()
-    docs, terms = _start_factors(x, vocabulary, k, float(total / (n_docs * n_terms)), seed, power)
+    docs, terms = _start_factors(x, k, float(total / (n_docs * x.n_terms)), seed, power)
     docs, terms = docs.checkpoint(), terms.checkpoint()
     columns = _names(k)
     term_gram = _gram(terms, k)[0]
@@ -207,17 +216,18 @@ def fit_nmf(
     sweeps = 0
     for sweeps in range(1, max_sweeps + 1):
         docs = _updated(x.with_terms(terms, k), docs.select(doc_id, *columns), doc_id, term_gram, k).checkpoint()
-        doc_gram, (doc_violation,) = _gram(docs, k, F.sum("violation"))
+        doc_gram, (doc_violation,) = _gram(docs, k, "sum(violation)")
         terms = _updated(
             x.with_docs(docs.select(doc_id, *columns), k), terms.select("term", *columns), "term", doc_gram, k
         ).checkpoint()
-        term_gram, (term_violation, fit) = _gram(terms, k, F.sum("violation"), F.sum("fit"))
+        term_gram, (term_violation, fit) = _gram(terms, k, "sum(violation)", "sum(fit)")
         terms = terms.select("term", *columns)
         losses.append(float(squares - 2 * fit + (doc_gram * term_gram).sum()))
         violation = doc_violation + term_violation
         first_violation = violation if first_violation is None else first_violation
         if first_violation == 0 or violation <= tolerance * first_violation:
             break
+    x.release()
     return NmfModel(
         docs.select(doc_id, F.array(*columns).alias("weights")),
         terms.select("term", F.array(*columns).alias("weights")),

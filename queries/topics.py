@@ -107,7 +107,7 @@ def topic_model_shape(spark, sf):
     """Factorise the whole corpus and report each component's size and heaviest term."""
     docs = _documents(spark, sf).select("doc_id", "text")
     spec = tfidf.TfidfSpec(min_df=2, max_df=0.95, longest_ngram=1)
-    model = topic_model(docs, k=len(LANGUAGES), spec=spec, doc_id="doc_id", max_sweeps=8, power=2)
+    model = topic_model(docs, k=len(LANGUAGES), spec=spec, doc_id="doc_id", max_sweeps=5, power=1)
     heads = topics.top_terms(model.components, 1).select("component", F.col("term").alias("head"))
     chunks = model.chunks.select(topics.strongest(F.col("weights"))["index"].alias("component"))
     sizes = chunks.groupBy("component").agg(F.count("*").alias("chunks"))
