@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerspark import constants as C
+from ledgerspark.functions.binding import bind
 from ledgerspark.functions.numbers import first_number
 from ledgerspark.functions.text import SPACE, replace_all, split_lines, strip
 
@@ -26,12 +27,10 @@ def _spacing(text: Column, fixes: Mapping[str, str]) -> Column:
     return text
 
 
-def _clean_line(raw: Column) -> Column:
-    """(keep, out) of one line: rules and header rows of tables go, other rows become sentences."""
-    line = F.replace(strip(raw), F.lit("**"), F.lit(""))
+def _clean_line(line: Column, cells: Column) -> Column:
+    """(keep, blank, out) of one line: rules and table headers go, other rows become sentences."""
     is_rule = line.rlike(rf"^\|?(?:{SPACE}|[:|\-])+\|?$")
-    cells = F.transform(F.split(F.regexp_replace(line, r"^\|+|\|+$", ""), r"\|"), strip)
-    head = F.try_element_at(cells, F.lit(1))
+    head = F.get(cells, F.lit(0))
     rest = F.filter(F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0))), lambda c: c != "")
     is_row = F.contains(line, F.lit("|"))
     is_header = is_row & F.lower(head).isin(*C.TABLE_HEADER_CELLS)
@@ -45,14 +44,23 @@ def _clean_line(raw: Column) -> Column:
     )
 
 
+def _cells(line: Column) -> Column:
+    return F.transform(F.split(F.regexp_replace(line, r"^\|+|\|+$", ""), r"\|"), strip)
+
+
+def _without_repeated_blanks(lines: Column) -> Column:
+    """A blank line stays only behind a line with text; an earlier blank is no such line either way."""
+    return F.filter(
+        lines, lambda s, i: ~s["blank"] | ((i > 0) & (F.coalesce(F.get(lines, i - 1)["out"], F.lit("")) != ""))
+    )
+
+
 def clean_generated_text(text: Column, fixes: Mapping[str, str] = C.ANSWER_SPACING_FIXES) -> Column:
     """Plain, evenly spaced text: no bold marks, no table syntax, single blank lines."""
-    lines = F.filter(F.transform(split_lines(_spacing(text, fixes)), _clean_line), lambda s: s["keep"])
-    outs = F.transform(lines, lambda s: s["out"])
-    # a blank line stays only behind a line with text; earlier blanks count as blank either way
-    kept = F.filter(
-        lines, lambda s, i: ~s["blank"] | ((i > 0) & (F.coalesce(F.get(outs, i - 1), F.lit("")) != ""))
-    )
+    raw = split_lines(_spacing(text, fixes))
+    lines = F.transform(raw, lambda line: F.replace(strip(line), F.lit("**"), F.lit("")))
+    cleaned = F.transform(lines, lambda line: bind(_cells(line), lambda cells: _clean_line(line, cells)))
+    kept = bind(F.filter(cleaned, lambda s: s["keep"]), _without_repeated_blanks)
     return strip(F.array_join(F.transform(kept, lambda s: s["out"]), "\n"))
 
 

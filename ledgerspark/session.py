@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "ledgerspark", master: str | None = None, **conf: str) -> SparkSession:
@@ -46,3 +46,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="ledgerspark-checkpoint-")
     context.setCheckpointDir(configured)
     return configured
+
+
+def spread_scan(df: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer splits than the cluster has cores.
+
+    A table in one small file is read by a single task, which would then do all the per-row text
+    work alone. A table with enough splits, so any large one, is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

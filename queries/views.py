@@ -9,14 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerspark import constants as C
+from ledgerspark.session import spread_scan
 
 CONCEPTS = list(C.CONCEPT_COLUMNS.values())
+# rows of these cost far more to work on than to move
+TEXT_TABLES = ("documents", "pages", "conversations", "benchmark")
 ANNUAL_FORM, ANNUAL_PERIOD = "A", "F"
 YEARS = list(range(2019, 2026))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_scan(df) if name in TEXT_TABLES else df
 
 
 def quoted(text: str) -> str:
@@ -138,7 +142,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = _question_sql(_spark_pick).replace("company''s ", "company\\'s ")
     # exploding a one-element array keeps the optimizer from repeating the long text expression in
     # every filter above it; stored questions would be a plain column
-    return table(spark, sf_dir, "events").select(
+    return spread_scan(table(spark, sf_dir, "events")).select(
         F.col("event_id").alias("question_id"),
         F.col("user_id").alias("entity"),
         F.explode(F.array(F.expr(text))).alias("text"),
