@@ -42,18 +42,22 @@ def score_documents(
 ) -> DataFrame:
     """Cosine of every question with every document that shares a term.
 
-    Document weights arrive hashed by document. With ``small`` question vectors, whose size the
-    caller has checked, sent to the executors, the sum per (question, document) is local: no pair
-    is ever shuffled. Otherwise the two tables meet in a shuffle join, whose hot terms adaptive
-    execution splits.
+    Term counts arrive hashed by document. With ``small`` question vectors, whose size the caller
+    has checked, sent to the executors, counts are first cut down to the questions' terms and the
+    sum per (question, document) is local: no pair is ever shuffled. Otherwise the tables meet in
+    a shuffle join, whose hot terms adaptive execution splits.
     """
+    scope, doc = list(index.spec.scope), index.doc_id
     queries = vectors.withColumnRenamed("weight", "query_weight")
+    asked = vectors.select(*scope, "term", "idf").distinct()
     if small:
-        queries = F.broadcast(queries)
-    pairs = index.weights.join(queries, [*index.spec.scope, "term"])
-    return pairs.groupBy(*index.spec.scope, index.doc_id, query_id).agg(
-        F.sum(F.col("weight") * F.col("query_weight")).alias("score")
-    )
+        queries, asked = F.broadcast(queries.drop("idf")), F.broadcast(asked)
+    else:
+        queries = queries.drop("idf")
+    relevant = index.counts.join(asked, [*scope, "term"]).join(index.lengths, doc)
+    weight = F.try_divide(F.col("tf") * F.col("idf"), F.col("length")).alias("weight")
+    pairs = relevant.select(*scope, doc, "term", weight).join(queries, [*scope, "term"])
+    return pairs.groupBy(*scope, doc, query_id).agg(F.sum(F.col("weight") * F.col("query_weight")).alias("score"))
 
 
 def top_documents(scores: DataFrame, k: int, query_id: str, doc_id: str, decimals: int = 4) -> DataFrame:

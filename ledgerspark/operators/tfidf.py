@@ -34,7 +34,10 @@ def document_words(docs: DataFrame, spec: TfidfSpec, doc_id: str = "doc_id", tex
     Spark reuses this exchange for the document-frequency branch, so texts are read once. Only
     single words travel; word pairs are formed behind the exchange.
     """
-    words = docs.select(*spec.scope, doc_id, tokens(F.col(text), spec.stop_words).alias("_words"))
+    # joins on the keys add this filter to some branches; stated here, all branches stay the same
+    # and share the exchange
+    keyed = docs.dropna(subset=[*spec.scope, doc_id])
+    words = keyed.select(*spec.scope, doc_id, tokens(F.col(text), spec.stop_words).alias("_words"))
     return words.repartition(doc_id)
 
 
@@ -74,13 +77,30 @@ def normalised(weights: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 @dataclass(frozen=True)
 class TfidfIndex:
-    """A fitted corpus: its vocabulary and its weights, hashed by document."""
+    """A fitted corpus: term counts, hashed by document, and the vocabulary."""
 
     vocabulary: DataFrame
-    weights: DataFrame
+    counts: DataFrame
     spec: TfidfSpec
     doc_id: str
 
+    def _weighted(self) -> DataFrame:
+        joined = self.counts.join(self.vocabulary, [*self.spec.scope, "term"])
+        return joined.select(
+            *self.spec.scope, self.doc_id, "term", (F.col("tf") * F.col("idf")).alias("weight")
+        )
+
+    @property
+    def weights(self) -> DataFrame:
+        """(scope…, doc, term, weight), every document of length one."""
+        return normalised(self._weighted(), [self.doc_id])
+
+    @property
+    def lengths(self) -> DataFrame:
+        """(doc, length) before scaling. Only numbers are shuffled to the documents."""
+        weight = F.col("weight")
+        return self._weighted().groupBy(self.doc_id).agg(F.sqrt(F.sum(weight * weight)).alias("length"))
+
 
 def fit_tfidf(
     docs: DataFrame, spec: TfidfSpec | None = None, doc_id: str = "doc_id", text: str = "text"
@@ -88,20 +108,19 @@ def fit_tfidf(
     """Fit a corpus. ``doc_id`` must identify a document across all scopes."""
     spec = spec or TfidfSpec()
     counts = term_counts(document_words(docs, spec, doc_id, text), spec, doc_id)
-    vocab = vocabulary(docs, counts, spec)
-    weighted = counts.join(vocab, [*spec.scope, "term"]).select(
-        *spec.scope, doc_id, "term", (F.col("tf") * F.col("idf")).alias("weight")
-    )
-    return TfidfIndex(vocab, normalised(weighted, [doc_id]), spec, doc_id)
+    return TfidfIndex(vocabulary(docs, counts, spec), counts, spec, doc_id)
 
 
 def query_vectors(
     queries: DataFrame, index: TfidfIndex, query_id: str = "question_id", text: str = "text"
 ) -> DataFrame:
-    """Weigh query texts with the corpus vocabulary; unknown terms drop out before scaling."""
+    """Weigh query texts with the corpus vocabulary; unknown terms drop out before scaling.
+
+    Rows keep the term's idf, so that scoring need not join the vocabulary again.
+    """
     spec = index.spec
     words = queries.select(*spec.scope, query_id, tokens(F.col(text), spec.stop_words).alias("_words"))
     counts = term_counts(words, spec, query_id)
     known = counts.join(index.vocabulary, [*spec.scope, "term"])
-    weighted = known.select(*spec.scope, query_id, "term", (F.col("tf") * F.col("idf")).alias("weight"))
+    weighted = known.select(*spec.scope, query_id, "term", "idf", (F.col("tf") * F.col("idf")).alias("weight"))
     return normalised(weighted, [query_id])
