@@ -36,7 +36,9 @@ def document_words(docs: DataFrame, spec: TfidfSpec, doc_id: str = "doc_id", tex
     """
     # joins on the keys add this filter to some branches; stated here, all branches stay the same
     # and share the exchange
-    keyed = docs.dropna(subset=[*spec.scope, doc_id])
+    keyed = docs
+    for key in (*spec.scope, doc_id):
+        keyed = keyed.filter(F.col(key).isNotNull())
     words = keyed.select(*spec.scope, doc_id, tokens(F.col(text), spec.stop_words).alias("_words"))
     return words.repartition(doc_id)
 
