@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ Span = tuple[str, int, int]
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about ``limit`` bytes of text, or one longer row."""
-    sizes = pa.compute.binary_length(batch[column]).fill_null(0).to_pylist()
+    sizes = pc.binary_length(batch[column]).fill_null(0).to_pylist()
     begin, held = 0, 0
     for i, size in enumerate(sizes):
         if held and held + size > limit:
@@ -64,10 +66,17 @@ def _arrow_schema(df: DataFrame, schema: str) -> pa.Schema:
     return to_arrow_schema(_parse_datatype_string(schema))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder all executors share."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage: write the rows to the folder all executors share, and read them again.
+
+    The planner then knows the true size. The files go when the application ends.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/tables-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ordered(spans: Iterable[Span], kinds: tuple[str, ...]) -> list[Span]:

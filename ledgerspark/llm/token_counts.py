@@ -13,6 +13,7 @@ import re
 from collections.abc import Iterable
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,7 +101,7 @@ def count_tokens(
         if counter is None:
             counter = _counters[tokenizer_path] = TokenCounter(tokenizer_path)
         texts = [t or "" for t in batch["text"].to_pylist()]
-        sizes = pa.compute.binary_length(batch["text"]).fill_null(0).cast(pa.int64())
+        sizes = pc.binary_length(batch["text"]).fill_null(0).cast(pa.int64())
         return pa.RecordBatch.from_arrays(
             [batch["id"], sizes, pa.array(counter.lengths(texts), pa.int64())], names=["id", "n_bytes", "n_tokens"]
         )
