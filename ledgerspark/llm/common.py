@@ -11,6 +11,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ledgerspark.session import checkpoint_dir
 
@@ -40,10 +42,11 @@ def map_texts(
     df: DataFrame,
     column: str,
     body: Callable[[pa.RecordBatch], Iterable[dict] | pa.RecordBatch | None],
-    schema: str,
+    schema: str | StructType,
 ) -> DataFrame:
     """``mapInArrow`` over slices of bounded bytes; ``body`` returns rows as dicts or a batch."""
-    arrow = _arrow_schema(df, schema)
+    kind = _parse_datatype_string(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,14 +59,7 @@ def map_texts(
                 else:
                     yield pa.RecordBatch.from_pylist(list(out), schema=arrow)
 
-    return df.mapInArrow(run, schema)
-
-
-def _arrow_schema(df: DataFrame, schema: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    return to_arrow_schema(_parse_datatype_string(schema))
+    return df.mapInArrow(run, kind)
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ledgerspark.llm.common import WORD, Span, joined, map_texts, ordered, sha256, slices, written
 from ledgerspark.llm.secret_scan import span_text
@@ -290,7 +291,7 @@ def sanitise(df: DataFrame, id_column: str = "doc_id", text_column: str = "text"
             texts.append(text)
         return pa.RecordBatch.from_arrays([batch["doc"], pa.array(texts, pa.string())], names=["doc", "text"])
 
-    done = map_texts(rows, "text", body, f"doc {rows.schema['doc'].dataType.simpleString()}, text string")
+    done = map_texts(rows, "text", body, StructType([rows.schema["doc"], rows.schema["text"]]))
     return done.select(
         *[F.col("text").alias(c) if c == text_column else F.col(f"doc.`_{c}`").alias(c) for c in df.columns]
     )
