@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerspark.llm import decontamination, lm_scores, mixing, personal_data, quality, secret_scan, simhash, token_counts, toxicity
+from ledgerspark.llm import decontamination, html_wrappers, lm_scores, mixing, personal_data, quality, secret_scan, simhash, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op5_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrappers.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op2_personal_data": op2_personal_data,
     "op3_toxicity": op3_toxicity,
     "op4_secret_scan": op4_secret_scan,
+    "op5_html_wrappers": op5_html_wrappers,
     "op6_simhash": op6_simhash,
     "op7_lm_scores": op7_lm_scores,
     "op8_quality": op8_quality,
