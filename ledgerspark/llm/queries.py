@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from ledgerspark.llm import decontamination, html_wrappers, lm_scores, mixing, personal_data, quality, secret_scan, simhash, token_counts, toxicity
 
 
@@ -63,5 +64,6 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_token_counts": op9_token_counts,
     "op10_decontamination": op10_decontamination,
+    "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"pipeline": sql} if (sql := corpus_pipeline.ORACLE_SQL) else {}
