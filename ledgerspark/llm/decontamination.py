@@ -69,7 +69,10 @@ class Item:
             else:
                 self.essential[w] = v
         question, answer = parts(text)
-        self.question, self.answer = shingles(terms(question)), set(terms(answer))
+        asked = terms(question)
+        # what only the answer says, unless it says nothing of its own
+        said = set(terms(answer))
+        self.question, self.answer = shingles(asked), said - set(asked) or said
 
     def overlaps(self, passage: list[str]) -> tuple[float, float]:
         held = shingles(passage)

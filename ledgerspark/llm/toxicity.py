@@ -32,6 +32,7 @@ LEVELS_PER_UNIT, LEVELS = 4, 31
 STRONG = 3.0
 PREFIXES = (4, 5, 6)
 PREDICT_AT = 0.7
+DOUBTS = 2
 REMEMBERED = 400_000
 NEAR, STRETCH = 5, 50
 
@@ -299,6 +300,9 @@ def train(
         featuresCol="vector", labelCol="label", maxIter=12, maxDepth=3, stepSize=0.3, seed=1, maxBins=32
     ).fit(grown.withColumn("vector", array_to_vector("x")))
     raw = _raw_scores(trees, held).select("raw", F.col("label").cast("double").alias("label"))
+    # clean texts added at the top: few labels can't make a sure verdict
+    doubt = df.sparkSession.createDataFrame([(1.0, 0.0)] * DOUBTS, "raw double, label double")
+    raw = raw.unionByName(doubt)
     calibration = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="calibrated").fit(raw)
     return ToxicityModel(lexicon, trees, calibration, 0.0)
 
