@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -38,6 +39,16 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = BATCH_BYTES) -> Iter
         yield batch.slice(begin)
 
 
+def reachable(df: DataFrame) -> DataFrame:
+    """``df``, after Python workers have been told where this package lies on the driver.
+
+    An installed package is found anyway; this is for a checkout that every machine has at one place.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", root)
+    return df
+
+
 def map_texts(
     df: DataFrame,
     column: str,
@@ -59,7 +70,7 @@ def map_texts(
                 else:
                     yield pa.RecordBatch.from_pylist(list(out), schema=arrow)
 
-    return df.mapInArrow(run, kind)
+    return reachable(df).mapInArrow(run, kind)
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -69,7 +80,7 @@ def written(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/tables-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    reachable(df).write.parquet(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)

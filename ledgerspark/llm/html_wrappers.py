@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import map_texts, slices, written
+from ledgerspark.llm.common import map_texts, reachable, slices, written
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset(("script", "style"))
@@ -335,7 +335,7 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
                 whole = align(whole, json.loads(text)) if whole else json.loads(text)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.string()), pa.array([json.dumps(whole)])], names=["host", "wrapper"])
 
-    parts = pages.select("host", "html").mapInArrow(fold, "host string, wrapper string")
+    parts = reachable(pages).select("host", "html").mapInArrow(fold, "host string, wrapper string")
     salted = parts.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
     some = salted.groupBy("host", "salt").applyInArrow(meet, "host string, wrapper string")
     return some.groupBy("host").applyInArrow(meet, "host string, wrapper string")

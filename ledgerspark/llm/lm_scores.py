@@ -22,6 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerspark.llm.common import reachable
+
 BACKOFF = 0.4
 UNSEEN = 0.5
 BLOCK_BYTES = 12 << 20
@@ -156,7 +158,7 @@ def backoff_scores(
     blocks = max(1, math.ceil((size or 0) / block_bytes))
     # a byte of text makes about two bytes of hashes
     parts = max(1, math.ceil(2 * (size or 0) / part_bytes))
-    texts = df.select(
+    texts = reachable(df).select(
         F.pmod(F.xxhash64(f"`{id_column}`", f"`{text_column}`"), F.lit(blocks)).cast("int").alias("block"),
         F.col(f"`{id_column}`").alias("id"),
         F.col(f"`{text_column}`").alias("text"),

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ledgerspark.llm.common import WORD, Span, joined, map_texts, ordered, sha256, slices, written
+from ledgerspark.llm.common import WORD, Span, joined, map_texts, ordered, reachable, sha256, slices, written
 from ledgerspark.llm.secret_scan import span_text
 
 # The base kinds and their patterns.
@@ -191,7 +191,7 @@ def term_counts(df: DataFrame, text_column: str = "text") -> DataFrame:
             [pa.array(terms, pa.string()), pa.array(terms.values(), pa.int64())], names=["term", "n"]
         )
 
-    counted = df.select(F.col(text_column).alias("text")).mapInArrow(run, "term string, n bigint")
+    counted = reachable(df.select(F.col(text_column).alias("text"))).mapInArrow(run, "term string, n bigint")
     return counted.groupBy("term").agg(F.sum("n").alias("n_term"))
 
 

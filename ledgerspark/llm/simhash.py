@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import map_texts, written
+from ledgerspark.llm.common import map_texts, reachable, written
 from ledgerspark.llm.components import components
 
 RADIUS = 3
@@ -108,7 +108,7 @@ def keyed(distinct: DataFrame) -> DataFrame:
                     names=["half", "key", "fp"],
                 )
 
-    return distinct.select("fp").mapInArrow(run, "half int, key bigint, fp bigint")
+    return reachable(distinct.select("fp")).mapInArrow(run, "half int, key bigint, fp bigint")
 
 
 def _roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:

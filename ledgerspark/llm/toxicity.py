@@ -23,7 +23,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import map_texts, uniform, written
+from ledgerspark.llm.common import map_texts, reachable, uniform, written
 
 TRAIN_ROWS = 24_000
 LEXICON_SHARE, TREE_SHARE = 0.5, 0.85
@@ -246,7 +246,7 @@ def learn_lexicon(rows: DataFrame, size: int = LEXICON_SIZE) -> dict[str, int]:
         return {}
     of = lambda column, label: F.sum(F.when(F.col("label") == label, F.col(column)).otherwise(0))
     counted = (
-        rows.select("text", "label")
+        reachable(rows.select("text", "label"))
         .mapInArrow(run, "entry string, label int, n bigint, texts bigint")
         .groupBy("entry")
         .agg(of("n", 1).alias("t"), of("n", 0).alias("c"), of("texts", 1).alias("dt"), of("texts", 0).alias("dc"))
