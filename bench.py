@@ -53,6 +53,8 @@ def main() -> None:
         master=f"local[{cpus}]",
         **{
             "spark.sql.shuffle.partitions": str(2 * int(cpus)),
+            # the test tables are one small file each
+            "spark.ledgerspark.scanPartitions": cpus,
             "spark.driver.memory": os.environ.get("BENCH_MEMORY", "12g"),
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",

@@ -7,6 +7,8 @@ descent, which needs just ``X·Hᵀ`` with ``H·Hᵀ``, and ``Xᵀ·W`` with ``W
 
 from __future__ import annotations
 
+import math
+
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +20,7 @@ from ledgerspark.session import checkpoint_dir
 # A term factor up to this size is sent whole to the executors; a larger one is joined by shuffle.
 BROADCAST_BYTES = 256 * 1024 * 1024
 # Rows of one term are spread over this many tasks when the term factor is joined by shuffle.
-TERM_SALTS = 16
+DOCS_PER_SALT = 1_000_000
 # Extra columns carried while the leading vectors are sought.
 OVERSAMPLING = 6
 
@@ -74,11 +76,15 @@ class _Matrix:
         placed = weights.select(doc, "term", "weight").repartition(doc).sortWithinPartitions(doc)
         self.by_doc = placed.checkpoint().persist()
         self.vocabulary = self.by_doc.groupBy("term").agg(F.count("*").alias("df")).checkpoint()
-        self.n_terms = self.vocabulary.count()
-        self.broadcast_terms = self.n_terms * (width * 8 + 64) <= BROADCAST_BYTES
+        # measured, as terms have no length limit of their own
+        sizes = self.vocabulary.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
+        self.n_terms = sizes[0]
+        self.broadcast_terms = sizes[1] + self.n_terms * (width * 8 + 64) <= BROADCAST_BYTES
         self.by_term = None
         if not self.broadcast_terms:
-            salt = F.pmod(F.xxhash64(doc), F.lit(TERM_SALTS)).cast("int").alias("salt")
+            # a term in all documents is dealt to tasks of about DOCS_PER_SALT rows
+            self.salts = max(1, math.ceil((self.vocabulary.agg(F.max("df")).first()[0] or 0) / DOCS_PER_SALT))
+            salt = F.pmod(F.xxhash64(doc), F.lit(self.salts)).cast("int").alias("salt")
             salted = self.by_doc.select(doc, "term", salt, "weight").repartition("term", "salt")
             self.by_term = salted.sortWithinPartitions("term", "salt").checkpoint().persist()
 
@@ -94,7 +100,7 @@ class _Matrix:
         """``X·F`` per document for a factor (term, c0…)."""
         if self.broadcast_terms:
             return self._sum(self.by_doc.join(F.broadcast(factor), "term"), self.doc, k)
-        salts = F.explode(F.sequence(F.lit(0), F.lit(TERM_SALTS - 1))).alias("salt")
+        salts = F.explode(F.sequence(F.lit(0), F.lit(self.salts - 1))).alias("salt")
         spread = factor.select("term", salts, *_names(k))
         return self._sum(self.by_term.join(spread, ["term", "salt"]), self.doc, k)
 

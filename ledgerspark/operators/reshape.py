@@ -39,3 +39,9 @@ def display_table(
         for name, title in columns.items()
     ]
     return summary.select("entity", *shown)
+
+
+def years_descending(summary: DataFrame) -> DataFrame:
+    """(entity, years): the fiscal years of each company, latest first; its periods bound the list."""
+    years = F.sort_array(F.collect_set("fiscal_year"), asc=False)
+    return summary.groupBy("entity").agg(years.alias("years"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 from functools import reduce
 
@@ -12,8 +13,8 @@ from ledgerspark import constants as C
 from ledgerspark.functions.text import contains_any
 from ledgerspark.operators.tfidf import TfidfIndex, query_vectors
 
-# Query-vector rows (about 60 bytes each) that may be sent whole to every executor.
-BROADCAST_ROWS = 1_000_000
+# Query-vector rows (about 60 bytes each) that are sent whole to every executor at a time.
+BLOCK_ROWS = 1_000_000
 
 
 def vector_rows_bound(queries: DataFrame, text: str, longest_ngram: int) -> int:
@@ -37,23 +38,16 @@ def needs_explanation(text: Column, terms=C.EXPLANATION_TERMS) -> Column:
     return contains_any(F.lower(text), terms)
 
 
-def score_documents(
-    vectors: DataFrame, index: TfidfIndex, query_id: str = "question_id", small: bool = True
-) -> DataFrame:
-    """Cosine of every question with every document that shares a term.
+def score_documents(vectors: DataFrame, index: TfidfIndex, query_id: str = "question_id") -> DataFrame:
+    """Cosine of every question of one block with every document that shares a term.
 
-    Term counts arrive hashed by document. With ``small`` question vectors, whose size the caller
-    has checked, sent to the executors, counts are first cut down to the questions' terms and the
-    sum per (question, document) is local: no pair is ever shuffled. Otherwise the tables meet in
-    a shuffle join, whose hot terms adaptive execution splits.
+    Term counts arrive hashed by document and the block's vectors, whose size the caller bounds, are
+    sent to the executors: counts are first cut down to the questions' terms and the sum per
+    (question, document) is local, so no pair is ever shuffled.
     """
     scope, doc = list(index.spec.scope), index.doc_id
-    queries = vectors.withColumnRenamed("weight", "query_weight")
-    asked = vectors.select(*scope, "term", "idf").distinct()
-    if small:
-        queries, asked = F.broadcast(queries.drop("idf")), F.broadcast(asked)
-    else:
-        queries = queries.drop("idf")
+    queries = F.broadcast(vectors.withColumnRenamed("weight", "query_weight").drop("idf"))
+    asked = F.broadcast(vectors.select(*scope, "term", "idf").distinct())
     relevant = index.counts.join(asked, [*scope, "term"]).join(index.lengths, doc)
     weight = F.try_divide(F.col("tf") * F.col("idf"), F.col("length")).alias("weight")
     pairs = relevant.select(*scope, doc, "term", weight).join(queries, [*scope, "term"])
@@ -78,20 +72,28 @@ def retrieve(
     query_id: str = "question_id",
     text: str = "text",
     expand: Mapping[str, str] | None = None,
-    small: bool | None = None,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """(scope…, question, doc, rank, retrieval_score) for the k most similar documents.
 
-    Documents that share no term with a question are not listed. ``small`` states whether the
-    question vectors may be broadcast; without it their size is checked here.
+    Documents that share no term with a question are not listed. Questions are taken in blocks by
+    hash, as many as keep a block's vectors under about ``block_rows`` rows; a question's hits all
+    come from its own block, so the result doesn't depend on their number.
     """
     if expand is not None:
         questions = questions.withColumn(text, expand_query(F.col(text), expand))
-    vectors = query_vectors(questions, index, query_id, text)
-    if small is None:
-        small = vector_rows_bound(questions, text, index.spec.longest_ngram) <= BROADCAST_ROWS
-    scores = score_documents(vectors, index, query_id, small)
-    return top_documents(scores, k, query_id, index.doc_id)
+    blocks = max(1, math.ceil(vector_rows_bound(questions, text, index.spec.longest_ngram) / block_rows))
+    place = F.pmod(F.xxhash64(query_id), F.lit(blocks))
+    parts = [
+        top_documents(
+            score_documents(query_vectors(questions.filter(place == block), index, query_id, text), index, query_id),
+            k,
+            query_id,
+            index.doc_id,
+        )
+        for block in range(blocks)
+    ]
+    return union_all(parts)
 
 
 def attach_documents(hits: DataFrame, docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
@@ -171,13 +173,14 @@ def reference_list(
     cited = (
         answers.join(hits.select(query_id, "rank", "source_title"), query_id)
         .filter(F.contains("answer", label))
-        .join(metadata.select("filing_id", "company", "form"), "filing_id")
+        .join(metadata.select("filing_id", "company", "form"), "filing_id", "left")
         .select(
             query_id,
             "rank",
-            F.concat(label, F.lit(" "), F.col("company"), F.lit(" "), F.col("form"), F.lit(" — "), F.col("source_title")).alias(
-                "line"
-            ),
+            # what isn't known of the filing is left out of the line
+            F.concat_ws(
+                " — ", F.concat_ws(" ", label, F.col("company"), F.col("form")), F.col("source_title")
+            ).alias("line"),
         )
     )
     lines = F.array_sort(F.collect_list(F.struct("rank", "line")))
@@ -188,7 +191,7 @@ def reference_list(
         F.col("company"), F.lit(" "), F.col("form"), F.lit(", filed "), F.col("filing_date"), F.lit("\n"), F.col("source_url")
     )
     return (
-        answers.join(metadata, "filing_id")
+        answers.join(metadata, "filing_id", "left")
         .join(listed, query_id, "left")
         .select(
             query_id,

@@ -106,7 +106,7 @@ def answer_texts(spark, sf):
 def routed_answers(spark, sf):
     """All three routes in one table: figures, evidence packs, out-of-scope messages."""
     docs = V.table(spark, sf, "documents").select("doc_id", F.col("source").alias("topic_label"), "text")
-    index = fit_tfidf(docs.select("doc_id", "text"), TfidfSpec(longest_ngram=1))
+    index = fit_tfidf(docs.select("doc_id", "text"), TfidfSpec())
     return answer_questions(
         V.questions(spark, sf),
         facts_queries.summary(spark, sf),

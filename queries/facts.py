@@ -139,6 +139,10 @@ def series_long(spark, sf):
     return _text_end(reshape.series_long(summary(spark, sf)))
 
 
+def years_descending(spark, sf):
+    return reshape.years_descending(summary(spark, sf)).select("entity", F.array_join("years", ",").alias("years"))
+
+
 def transpose_years(spark, sf):
     return reshape.transpose_years(summary(spark, sf), V.YEARS)
 
@@ -212,6 +216,7 @@ QUERIES = {
         interval_changes,
         series_long,
         transpose_years,
+        years_descending,
         display_table,
         missing_years,
         filing_index_latest,
@@ -337,6 +342,9 @@ ORACLES = {
       bool_and(change >= 0) AS never_fell, bool_and(change <= 0) AS never_rose FROM ranked GROUP BY entity, metric""",
     "series_long": V.ctes(*V.SUMMARY_CTES, V.LONG_SQL)
     + """SELECT entity, CAST("end" AS VARCHAR) AS "end", fiscal_year, metric, value FROM series""",
+    "years_descending": V.ctes(*V.SUMMARY_CTES)
+    + """SELECT entity, string_agg(CAST(fiscal_year AS VARCHAR), ',' ORDER BY fiscal_year DESC) AS years
+      FROM (SELECT DISTINCT entity, fiscal_year FROM summary) GROUP BY entity""",
     "transpose_years": V.ctes(*V.SUMMARY_CTES, V.LONG_SQL)
     + "SELECT entity, metric, "
     + ", ".join(f"max(CASE WHEN fiscal_year = {y} THEN value END) AS \"FY{y}\"" for y in V.YEARS)

@@ -74,7 +74,7 @@ def tfidf_vectors(spark, sf):
 def tfidf_by_source(spark, sf):
     """Separate corpora per source: frequencies are taken within each of them."""
     docs = V.table(spark, sf, "documents").select("source", "doc_id", "text")
-    index = tfidf.fit_tfidf(docs, tfidf.TfidfSpec(longest_ngram=1, scope=("source",)))
+    index = tfidf.fit_tfidf(docs, tfidf.TfidfSpec(scope=("source",)))
     return index.weights.groupBy("source", "doc_id").agg(
         F.count("*").alias("n_terms"), F.round(F.max("weight"), 6).alias("largest")
     )
@@ -101,7 +101,7 @@ EXPANSIONS = {"thatin": "thing hehely", "mente": "ciónue asción", "nicht": "en
 
 def _expanded_hits(spark, sf) -> DataFrame:
     queries = V.questions(spark, sf).select("question_id", "text")
-    return retrieval.retrieve(queries, _index(spark, sf, longest_ngram=1), expand=EXPANSIONS)
+    return retrieval.retrieve(queries, _index(spark, sf), expand=EXPANSIONS)
 
 
 def retrieve_expanded(spark, sf):
@@ -163,7 +163,8 @@ def reference_lines(spark, sf):
         (F.col("question_id") % 5).alias("filing_id"),
         F.concat("text", F.when(F.col("question_id") % 3 == 0, F.lit(" [1]")).otherwise(F.lit(" [3] [1]"))).alias("answer"),
     )
-    metadata = V.table(spark, sf, "region").select(
+    # one filing in five is unknown
+    metadata = V.table(spark, sf, "region").filter("r_regionkey <> 4").select(
         F.col("r_regionkey").cast("bigint").alias("filing_id"),
         F.col("r_name").alias("company"),
         F.lit("10-K").alias("form"),
@@ -247,15 +248,14 @@ def _weights_sql(counts: str = "tf") -> tuple[str, ...]:
     )
 
 
-def _hits_sql(source: str, single: bool = False) -> tuple[str, ...]:
+def _hits_sql(source: str) -> tuple[str, ...]:
     """hits(question_id, rank, doc_id, retrieval_score) for a source of (question_id, text)."""
-    counts = """{0} AS (SELECT {1}, term, count(*) AS tf FROM (SELECT {1}, unnest(words) AS term FROM {2}) GROUP BY ALL)"""
     return (
         V.words_sql("words", "documents", "doc_id"),
-        counts.format("tf", "doc_id", "words") if single else V.counts_sql("tf", "words", "doc_id"),
+        V.counts_sql("tf", "words", "doc_id"),
         *_weights_sql(),
         V.words_sql("qwords", source, "question_id"),
-        counts.format("qtf", "question_id", "qwords") if single else V.counts_sql("qtf", "qwords", "question_id"),
+        V.counts_sql("qtf", "qwords", "question_id"),
         "qraw AS (SELECT question_id, term, tf * idf AS w FROM qtf JOIN df USING (term))",
         "qweights AS (SELECT question_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY question_id)) AS w FROM qraw)",
         """scores AS (SELECT question_id, doc_id, sum(q.w * d.w) AS score FROM qweights q JOIN weights d USING (term)
@@ -279,7 +279,7 @@ def _expansion_sql(expansions) -> str:
 _EXPANDED = (
     V.QUESTIONS_SQL,
     f"asked AS (SELECT question_id, {_expansion_sql(EXPANSIONS)} AS text FROM questions)",
-    *_hits_sql("asked", single=True),
+    *_hits_sql("asked"),
 )
 _EXPLAIN = " OR ".join(f"contains(lower(text), '{t}')" for t in C.EXPLANATION_TERMS)
 
@@ -343,8 +343,7 @@ ORACLES = {
     + """SELECT doc_id, count(*) AS n_terms, round(max(w), 6) AS largest, round(sum(w), 6) AS total,
       round(sum(w * w), 6) AS squared FROM weights GROUP BY doc_id""",
     "tfidf_by_source": V.ctes(
-        V.words_sql("words", "documents", "doc_id"),
-        "tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(words) AS term FROM words) GROUP BY ALL)",
+        *_DOC_WORDS,
         "sized AS (SELECT source, count(*) AS n FROM documents GROUP BY source)",
         "placed AS (SELECT source, doc_id, term, tf, n FROM tf JOIN documents USING (doc_id) JOIN sized USING (source))",
         "raw AS (SELECT *, tf * (ln((1 + n) / (1 + count(*) OVER (PARTITION BY source, term))) + 1) AS w FROM placed)",
@@ -374,10 +373,12 @@ ORACLES = {
     "citations_used": """SELECT conv_id, turn, CASE WHEN turn % 4 = 1 THEN '[1] [2] [F1]' ELSE '[1] [M2] [F1]' END AS cited
       FROM conversations WHERE role = 'assistant'""",
     "reference_lines": V.ctes(_ITEMS, *_hits_sql("items"))
-    + """, cited AS (SELECT question_id, string_agg(concat('[', rank, '] ', r_name, ' 10-K — ', d.source), chr(10) ORDER BY rank) AS lines
-        FROM hits JOIN documents d USING (doc_id) JOIN region ON r_regionkey = question_id % 5
+    + """, known AS (SELECT * FROM region WHERE r_regionkey <> 4),
+      cited AS (SELECT question_id, string_agg(concat_ws(' — ', concat_ws(' ', '[' || rank || ']', r_name || ' 10-K'), d.source),
+          chr(10) ORDER BY rank) AS lines
+        FROM hits JOIN documents d USING (doc_id) LEFT JOIN known ON r_regionkey = question_id % 5
         WHERE rank = 1 OR (rank = 3 AND question_id % 3 <> 0) GROUP BY question_id)
       SELECT question_id, coalesce(lines, '') AS reference_lines,
-        concat(r_name, ' 10-K, filed 2025-10-31', chr(10), 'https://example.org/', r_regionkey) AS filing_source
-      FROM items JOIN region ON r_regionkey = question_id % 5 LEFT JOIN cited USING (question_id)""",
+        r_name || ' 10-K, filed 2025-10-31' || chr(10) || 'https://example.org/' || r_regionkey AS filing_source
+      FROM items LEFT JOIN known ON r_regionkey = question_id % 5 LEFT JOIN cited USING (question_id)""",
 }

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerspark import constants as C
-from ledgerspark.session import spread_scan
 
 CONCEPTS = list(C.CONCEPT_COLUMNS.values())
 # rows of these cost far more to work on than to move
+SCAN_PARTITIONS = "spark.ledgerspark.scanPartitions"
 TEXT_TABLES = ("documents", "pages", "conversations", "benchmark")
 ANNUAL_FORM, ANNUAL_PERIOD = "A", "F"
 YEARS = list(range(2019, 2026))
@@ -20,7 +20,16 @@ YEARS = list(range(2019, 2026))
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread_scan(df) if name in TEXT_TABLES else df
+    return spread(df) if name in TEXT_TABLES else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows to as many partitions as the session asks for, as it may for tables in one small file.
+
+    Without the setting scans stay as they are.
+    """
+    parts = df.sparkSession.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(parts)) if parts else df
 
 
 def quoted(text: str) -> str:
@@ -142,7 +151,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = _question_sql(_spark_pick).replace("company''s ", "company\\'s ")
     # exploding a one-element array keeps the optimizer from repeating the long text expression in
     # every filter above it; stored questions would be a plain column
-    return spread_scan(table(spark, sf_dir, "events")).select(
+    return spread(table(spark, sf_dir, "events")).select(
         F.col("event_id").alias("question_id"),
         F.col("user_id").alias("entity"),
         F.explode(F.array(F.expr(text))).alias("text"),
@@ -156,6 +165,7 @@ QUESTIONS_SQL = (
 # --- filings: every page becomes a filing with a table of contents and two sections -------------
 
 _CONTENTS = (
+    "<p>😀📈 𝔸𝔹𝔻 🧾💶</p>"
     "<p>Item 1A.&nbsp;Risk Factors 5</p><p>Item 1B. Unresolved Staff Comments 17</p>"
     "<p>Item 7. Management&#8217;s Discussion and Analysis of Financial Condition and Results of Operations 21</p>"
     "<p>Item 7A. Quantitative and Qualitative Disclosures About Market Risk 27</p>"

@@ -105,15 +105,12 @@ def test_default_stop_words_are_those_of_spark(spark):
     assert set(C.STOP_WORDS) == {w for w in shipped if "'" not in w}
 
 
-def test_generated_text_keeps_sections_and_bullets(spark):
-    raw = (
-        "**Summary:**\nThe firm discloses exposure [1].\n\n\n**Key risks:**\n- **Suppliers:** Few of them[2].\n\n"
-        "| Year | Value |\n|---|---|\n| FY2025 | 3 | up |\n## Head\nup5 3Bmore 7%less.Next"
-    )
-    assert one(spark, raw, generated_text.clean_generated_text) == (
-        "Summary:\nThe firm discloses exposure [1].\n\nKey risks:\n- Suppliers: Few of them [2].\n\n"
-        "FY2025: 3, up\nHead\nup 5 3B more 7% less. Next"
-    )
+def test_generated_text_cleanup(spark):
+    raw = "# **Fleet**\n|Ship|Crew|\n|:--|--:|\n|Aurora|12|\n\n\n\n* loads rose up7 to 4Mtons[3].Then 9%fell"
+    cleaned = one(spark, raw, generated_text.clean_generated_text).split("\n")
+    assert cleaned[:3] == ["Fleet", "Ship: Crew", "Aurora: 12"]
+    assert cleaned[3] == "" and len(cleaned) == 5
+    assert cleaned[4].endswith("loads rose up 7 to 4M tons [3]. Then 9% fell")
 
 
 def test_space_before_each_citation(spark):
@@ -135,11 +132,12 @@ def test_parse_evidence(spark):
     }
 
 
-def test_excerpt_drops_sentences_off_topic(spark):
-    text = "Sales of one model could fall. Foreign exchange rates matter to us. The U.S. dollar may rise against foreign currencies."
-    anchors = C.TOPIC_ANCHORS[3]
-    excerpt = one(spark, text, lambda c: topics.topic_excerpt(c, X.string_array(anchors)))
-    assert "one model" not in excerpt and "Foreign exchange" in excerpt and "foreign currencies" in excerpt
+def test_excerpt_ranks_sentences_by_anchor_hits(spark):
+    sentences = ["Rain fell.", "Owls hunt mice.", "Mice fear owls and owls fear none.", "Boats left.", "An owl is a bird."]
+    excerpt = one(spark, " ".join(sentences), lambda c: topics.topic_excerpt(c, X.string_array(["owl", "mice"])))
+    picked = [s for s in sentences if s in excerpt]
+    assert picked == [sentences[1], sentences[2], sentences[4]]
+    assert sorted(picked, key=excerpt.index) == picked
 
 
 def test_excerpt_without_hits_takes_the_first_sentences(spark):
@@ -150,3 +148,15 @@ def test_excerpt_without_hits_takes_the_first_sentences(spark):
 def test_page_footers(spark):
     text = "one Acme (U.S.) Inc. | 2025 Form 10-K | 12two"
     assert one(spark, text, lambda c: topics.remove_page_footers(c, "Acme (U.S.) Inc.")) == "one two"
+
+
+def test_sections_behind_supplementary_characters(spark):
+    from ledgerspark.operators import sections
+
+    body = "\U0001f600" * 7 + " Item 1A. Risk Factors The following summarizes factors all kinds \U0001d538 of harm. Item 1B. Unresolved Staff Comments"
+    df = spark.createDataFrame([(1, body), (2, body[:60]), (3, None), (4, "\U0001f600 nothing")], "id int, text string")
+    rows = {(r["id"], r["section"]): r for r in sections.extract_sections(df).collect()}
+    risk = C.SECTION_SPECS[0][0]
+    assert rows[1, risk]["text"] == body[8:].rsplit(" Item 1B", 1)[0] and rows[1, risk]["reason"] is None
+    assert all((r["text"] is None) == (r["reason"] is not None) for r in rows.values())
+    assert rows[3, risk]["reason"] == rows[4, risk]["reason"] == "heading not found"
