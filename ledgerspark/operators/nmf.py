@@ -8,7 +8,6 @@ descent, which needs just ``X·Hᵀ`` with ``H·Hᵀ``, and ``Xᵀ·W`` with ``W
 from __future__ import annotations
 
 import math
-
 from dataclasses import dataclass
 
 import numpy as np

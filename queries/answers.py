@@ -10,6 +10,7 @@ from ledgerspark.operators import answers, generated_text, questions
 from ledgerspark.operators.tfidf import TfidfSpec, fit_tfidf
 from ledgerspark.plans.question_answering import answer_questions
 from queries import facts as facts_queries
+from queries import text as text_queries
 from queries import views as V
 
 
@@ -81,7 +82,8 @@ def evidence_parse(spark, sf):
 
 
 def _metadata(spark, sf) -> DataFrame:
-    return V.table(spark, sf, "supplier").select(
+    # every seventh company has no filing on record
+    return V.table(spark, sf, "supplier").filter("s_suppkey % 7 <> 0").select(
         F.col("s_suppkey").alias("entity"),
         F.concat("s_name", F.lit(" Inc.")).alias("company"),
         F.lit("10-K").alias("form"),
@@ -270,6 +272,47 @@ _INTERVALS = (
       FROM changes JOIN spans USING (question_id, metric_position))""",
 )
 _CAP = "upper(verb[1]) || verb[2:]"
+_SENTENCE = f"""'- ' || label || ': ' || CASE
+      WHEN n = 1 THEN concat({_CAP}, ' by ', amount, ' from FY', y1, ' to FY', y2)
+      WHEN steady THEN concat({_CAP}, ' in every reported interval, with an overall change of ', amount,
+        '; the largest annual change was ', span)
+      ELSE concat('Varied across the reported intervals, but ', verb, ' by ', amount, ' overall; the largest annual change was ', span)
+      END"""
+_PLURAL = ", ".join(V.quoted(x) for x in C.PLURAL_LABELS)
+_ANSWERS = (
+    *_EVIDENCE,
+    *_INTERVALS[len(_CHANGES) :],
+    "known AS (SELECT * FROM supplier WHERE s_suppkey % 7 <> 0)",
+    f"""one AS (SELECT question_id, concat(coalesce(s_name, 'The company'), '’s ', lower(label), ' in FY', fiscal_year,
+        CASE WHEN label IN ({_PLURAL}) THEN ' were ' ELSE ' was ' END, {_shown('value')}, ' [F1].') AS body
+      FROM figures JOIN shape USING (question_id) LEFT JOIN known ON s_suppkey = entity WHERE n_rows = 1 AND n_metrics = 1)""",
+    f"""yearly AS (SELECT question_id, row_position, concat('FY', any_value(fiscal_year), ':', {_NL},
+        string_agg('- ' || label || ': ' || {_shown('value')}, {_NL} ORDER BY metric_position)) AS part
+      FROM figures GROUP BY question_id, row_position)""",
+    f"""listed AS (SELECT question_id, string_agg(part, {_NL} || {_NL} ORDER BY row_position) AS parts FROM yearly GROUP BY question_id)""",
+    f"""compared AS (SELECT question_id, concat({_NL}, {_NL}, 'Overall:', {_NL},
+        string_agg({_SENTENCE}, {_NL} ORDER BY metric_position)) AS part FROM worded GROUP BY question_id)""",
+    f"""answers AS (SELECT question_id, n_rows, n_metrics, evidence, CASE WHEN n_rows = 0 OR n_metrics = 0 THEN evidence ELSE concat(
+        coalesce(o.body, concat('Financial results [F1]:', {_NL}, {_NL}, l.parts, c.part)),
+        {_NL} || {_NL} || 'References:' || {_NL} || '[F1] ' || s_name || ' Inc. 10-K — Financial Statements, filed 2025-10-31'
+          || {_NL} || 'https://example.org/' || entity) END AS answer
+      FROM evidence JOIN (SELECT question_id, entity FROM routes WHERE route = 'financial') USING (question_id)
+      LEFT JOIN one o USING (question_id) LEFT JOIN listed l USING (question_id) LEFT JOIN compared c USING (question_id)
+      LEFT JOIN known ON s_suppkey = entity)""",
+)
+# questions that need text: explained figures search with expanded wording, risks as they are
+_PACKS = (
+    f"""sought AS (SELECT question_id, route, CASE WHEN route = 'risk' THEN text ELSE {text_queries._expansion_sql(C.QUERY_EXPANSIONS)} END AS text
+      FROM questions JOIN routes USING (question_id) WHERE route = 'risk' OR (route = 'financial' AND explain))""",
+    *text_queries._hits_sql("sought"),
+    f"""packs AS (SELECT question_id,
+        string_agg(concat('[M', rank, '] Item 7. MD&A, retrieved chunk ', doc_id, {_NL}, d.text), {_NL} || {_NL} ORDER BY rank)
+          FILTER (route = 'financial') AS context,
+        string_agg(concat('[', rank, '] Topic: ', d.source, {_NL}, 'Chunk ID: ', doc_id, {_NL}, 'SEC excerpt:', {_NL}, d.text),
+          {_NL} || {_NL} ORDER BY rank) FILTER (route = 'risk') AS evidence
+      FROM hits JOIN documents d USING (doc_id) JOIN sought USING (question_id)
+      GROUP BY question_id HAVING max(retrieval_score) > 0)""",
+)
 
 ORACLES = {
     "question_route": V.ctes(*_READ) + "SELECT question_id, route, explain FROM routes",
@@ -293,12 +336,7 @@ ORACLES = {
     "question_missing_years": V.ctes(*_EVIDENCE) + "SELECT question_id, fiscal_year FROM missing",
     "evidence_texts": V.ctes(*_EVIDENCE) + "SELECT question_id, evidence FROM evidence",
     "change_sentences": V.ctes(*_INTERVALS)
-    + f"""SELECT question_id, metric_position, label, '- ' || label || ': ' || CASE
-      WHEN n = 1 THEN concat({_CAP}, ' by ', amount, ' from FY', y1, ' to FY', y2)
-      WHEN steady THEN concat({_CAP}, ' in every reported interval, with an overall change of ', amount,
-        '; the largest annual change was ', span)
-      ELSE concat('Varied across the reported intervals, but ', verb, ' by ', amount, ' overall; the largest annual change was ', span)
-      END AS sentence FROM worded""",
+    + f"SELECT question_id, metric_position, label, {_SENTENCE} AS sentence FROM worded",
     "evidence_parse": V.ctes(*_EVIDENCE)
     + f"""SELECT question_id, kind, fiscal_year, label, value,
         coalesce(TRY_CAST(regexp_extract(replace(value, ',', ''), '-?[0-9]+(\\.[0-9]+)?') AS DOUBLE), 0) AS number FROM (
@@ -311,12 +349,15 @@ ORACLES = {
         WHERE n_metrics = 1 AND n_rows > 1
       UNION ALL SELECT question_id, 'overall', NULL, 'Lowest year', 'FY' || CAST(lo AS VARCHAR) FROM ends JOIN shape USING (question_id)
         WHERE n_metrics = 1 AND n_rows > 1)""",
-    "single_answers": V.ctes(*_EVIDENCE)
-    + f"""SELECT question_id, CASE WHEN n_rows = 0 THEN evidence ELSE concat(s_name, '’s ', lower(label), ' in FY', fiscal_year,
-        CASE WHEN label IN ({', '.join(V.quoted(x) for x in C.PLURAL_LABELS)}) THEN ' were ' ELSE ' was ' END, {_shown('value')}, ' [F1].',
-        {_NL}, {_NL}, 'References:', {_NL}, '[F1] ', s_name, ' Inc. 10-K — Financial Statements, filed 2025-10-31', {_NL},
-        'https://example.org/', entity) END AS answer
-      FROM evidence JOIN (SELECT question_id, entity FROM routes WHERE route = 'financial') USING (question_id)
-      LEFT JOIN (SELECT question_id, label, unit, value, fiscal_year FROM figures) USING (question_id)
-      LEFT JOIN supplier ON s_suppkey = entity WHERE n_rows = 1 AND n_metrics = 1""",
+    "single_answers": V.ctes(*_ANSWERS)
+    + "SELECT question_id, answer FROM answers WHERE n_rows = 1 AND n_metrics = 1",
+    "answer_texts": V.ctes(*_ANSWERS) + "SELECT question_id, answer FROM answers",
+    "routed_answers": V.ctes(*_ANSWERS, *_PACKS)
+    + f"""SELECT question_id, 'financial' AS route, CASE WHEN context IS NULL THEN answer END AS answer, evidence, context
+      FROM (SELECT a.*, CASE WHEN n_rows > 0 THEN p.context END AS context FROM answers a LEFT JOIN packs p USING (question_id))
+      UNION ALL SELECT question_id, route, CASE WHEN p.evidence IS NULL THEN {V.quoted(C.NO_EVIDENCE_MESSAGE)} END, p.evidence, NULL
+      FROM routes LEFT JOIN packs p USING (question_id) WHERE route = 'risk'
+      UNION ALL SELECT question_id, route, concat('This question is outside the scope of ', coalesce(s_name, 'company'),
+        ' financial and 10-K risk analysis.'), NULL, NULL
+      FROM routes LEFT JOIN known ON s_suppkey = entity WHERE route = 'unsupported'""",
 }
