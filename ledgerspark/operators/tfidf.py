@@ -54,9 +54,18 @@ def inverse_document_frequency(n_docs: Column, df: Column) -> Column:
     return F.log((1 + n_docs) / (1 + df)) + 1
 
 
-def vocabulary(docs: DataFrame, counts: DataFrame, spec: TfidfSpec) -> DataFrame:
-    """(scope…, term, df, idf) for the terms within the document-frequency bounds."""
-    frequency = counts.groupBy(*spec.scope, "term").agg(F.count("*").alias("df"))
+def vocabulary(docs: DataFrame, spec: TfidfSpec, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(scope…, term, df, idf) for the terms within the document-frequency bounds.
+
+    A document is one row, so its distinct terms are found in the row; only partial counts per term
+    are shuffled.
+    """
+    keyed = docs
+    for key in (*spec.scope, doc_id):
+        keyed = keyed.filter(F.col(key).isNotNull())
+    held = F.array_distinct(ngrams(tokens(F.col(text), spec.stop_words), spec.longest_ngram))
+    terms = keyed.select(*spec.scope, F.explode(held).alias("term"))
+    frequency = terms.groupBy(*spec.scope, "term").agg(F.count("*").alias("df"))
     if spec.scope:
         sizes = docs.groupBy(*spec.scope).agg(F.count("*").alias("n_docs"))
         frequency = frequency.join(sizes, list(spec.scope))
@@ -110,7 +119,7 @@ def fit_tfidf(
     """Fit a corpus. ``doc_id`` must identify a document across all scopes."""
     spec = spec or TfidfSpec()
     counts = term_counts(document_words(docs, spec, doc_id, text), spec, doc_id)
-    return TfidfIndex(vocabulary(docs, counts, spec), counts, spec, doc_id)
+    return TfidfIndex(vocabulary(docs, spec, doc_id, text), counts, spec, doc_id)
 
 
 def query_vectors(
