@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -96,6 +96,36 @@ def retrieve(
     return union_all(parts)
 
 
+def pad_hits(
+    hits: DataFrame,
+    questions: DataFrame,
+    docs: DataFrame,
+    k: int = 3,
+    query_id: str = "question_id",
+    doc_id: str = "doc_id",
+    scope: Sequence[str] = (),
+) -> DataFrame:
+    """Fill the hits of every question up to k with documents of score zero, the largest ids first.
+
+    Of each scope only its 2k largest ids are looked at: k at most of them are hits already.
+    """
+    last = Window.partitionBy(*scope, F.lit(0)).orderBy(F.col(doc_id).desc())
+    ends = docs.select(*scope, doc_id).withColumn("_n", F.row_number().over(last)).filter(F.col("_n") <= 2 * k)
+    if scope:
+        lists = ends.groupBy(*scope).agg(F.collect_list(doc_id).alias("_ids"))
+        asked = questions.select(*scope, query_id).join(lists, list(scope))
+    else:
+        ids = [r[0] for r in ends.select(doc_id).collect()]
+        asked = questions.select(query_id, F.array(*[F.lit(i) for i in ids]).alias("_ids"))
+    free = asked.select(*scope, query_id, F.explode("_ids").alias(doc_id)).join(hits, [query_id, doc_id], "left_anti")
+    columns = [*scope, query_id, doc_id]
+    every = hits.select(*columns, "rank", "retrieval_score").unionByName(
+        free.select(*columns, F.lit(k + 1).alias("rank"), F.lit(0.0).alias("retrieval_score"))
+    )
+    order = Window.partitionBy(query_id).orderBy("rank", F.col(doc_id).desc())
+    return every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
 def attach_documents(hits: DataFrame, docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """Add the stored columns of the hit documents; hits are few, so the corpus is only probed."""
     extra = [c for c in docs.columns if c == doc_id or c not in hits.columns]

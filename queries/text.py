@@ -108,6 +108,21 @@ def retrieve_expanded(spark, sf):
     return _expanded_hits(spark, sf)
 
 
+def retrieve_padded(spark, sf):
+    """Three documents for every question, whether they share a term or not."""
+    docs = V.table(spark, sf, "documents").select("doc_id")
+    return retrieval.pad_hits(_expanded_hits(spark, sf), V.questions(spark, sf), docs)
+
+
+def padded_context(spark, sf):
+    """Explanations with three blocks each, fillers included, as long as one block scores."""
+    docs = V.table(spark, sf, "documents").select("doc_id", "text")
+    asked = V.questions(spark, sf).select("question_id", F.col("text").alias("question"))
+    hits = retrieval.attach_documents(retrieve_padded(spark, sf), docs).join(asked, "question_id")
+    packs = retrieval.mda_context(hits, chunk_id="doc_id")
+    return packs.select("question_id", "best_score", F.md5("context").alias("digest"))
+
+
 def evidence_context(spark, sf):
     docs = V.table(spark, sf, "documents").select("doc_id", "text")
     asked = V.questions(spark, sf).select("question_id", F.col("text").alias("question"))
@@ -191,6 +206,8 @@ QUERIES = {
         retrieve_conversations,
         query_expansion,
         retrieve_expanded,
+        retrieve_padded,
+        padded_context,
         evidence_context,
         risk_evidence_pack,
         evidence_preview,
@@ -281,8 +298,23 @@ _EXPANDED = (
     f"asked AS (SELECT question_id, {_expansion_sql(EXPANSIONS)} AS text FROM questions)",
     *_hits_sql("asked"),
 )
+_PADDED = (
+    *_EXPANDED,
+    "ends AS (SELECT doc_id FROM documents ORDER BY doc_id DESC LIMIT 6)",
+    """free AS (SELECT question_id, doc_id FROM questions, ends WHERE NOT EXISTS (SELECT 1 FROM hits h
+      WHERE h.question_id = questions.question_id AND h.doc_id = ends.doc_id))""",
+    """padded AS (SELECT question_id, doc_id, retrieval_score, CAST(place AS INTEGER) AS rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rank, doc_id DESC) AS place FROM (
+        SELECT question_id, doc_id, retrieval_score, rank FROM hits
+        UNION ALL SELECT question_id, doc_id, 0.0::DOUBLE, 4 FROM free)) WHERE place <= 3)""",
+)
 _EXPLAIN = " OR ".join(f"contains(lower(text), '{t}')" for t in C.EXPLANATION_TERMS)
 
+_CONTEXT = f"""SELECT question_id, max(retrieval_score) AS best_score,
+      md5(string_agg(concat('[M', rank, '] Item 7. MD&A, retrieved chunk ', doc_id, chr(10), d.text), chr(10) || chr(10) ORDER BY rank)) AS digest
+      FROM {{hits}} JOIN documents d USING (doc_id) JOIN (SELECT question_id FROM questions WHERE {_EXPLAIN}) USING (question_id)
+      GROUP BY question_id HAVING max(retrieval_score) > 0"""
+
 
 def _packed_chunks_sql(overlap: bool) -> str:
     """Greedy packing, one sentence per step of a recursion over all documents at once."""
@@ -356,11 +388,9 @@ ORACLES = {
     "query_expansion": V.ctes(V.QUESTIONS_SQL)
     + f"SELECT question_id, {_expansion_sql(C.QUERY_EXPANSIONS)} AS expanded FROM questions",
     "retrieve_expanded": V.ctes(*_EXPANDED) + "SELECT question_id, rank, doc_id, retrieval_score FROM hits",
-    "evidence_context": V.ctes(*_EXPANDED)
-    + f"""SELECT question_id, max(retrieval_score) AS best_score,
-      md5(string_agg(concat('[M', rank, '] Item 7. MD&A, retrieved chunk ', doc_id, chr(10), d.text), chr(10) || chr(10) ORDER BY rank)) AS digest
-      FROM hits JOIN documents d USING (doc_id) JOIN (SELECT question_id FROM questions WHERE {_EXPLAIN}) USING (question_id)
-      GROUP BY question_id HAVING max(retrieval_score) > 0""",
+    "retrieve_padded": V.ctes(*_PADDED) + "SELECT question_id, rank, doc_id, retrieval_score FROM padded",
+    "padded_context": V.ctes(*_PADDED) + _CONTEXT.format(hits="padded"),
+    "evidence_context": V.ctes(*_EXPANDED) + _CONTEXT.format(hits="hits"),
     "risk_evidence_pack": V.ctes(_ITEMS, *_hits_sql("items"))
     + """SELECT question_id, max(retrieval_score) AS best_score,
       md5(string_agg(concat('[', rank, '] Topic: ', d.source, chr(10), 'Chunk ID: ', doc_id, chr(10), 'SEC excerpt:', chr(10), d.text),
