@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from ledgerspark.operators.annual import annual_facts, annual_summary
 from ledgerspark.operators.quality import validate
-from ledgerspark.sources.tables import write_summary
+from ledgerspark.sources.tables import move_folder, read_summary, write_summary
 
 
 def build_annual_summary(facts: DataFrame, form: str = "10-K", fp: str = "FY", unit: str = "USD") -> DataFrame:
@@ -14,6 +14,13 @@ def build_annual_summary(facts: DataFrame, form: str = "10-K", fp: str = "FY", u
 
 
 def publish_annual_summary(facts: DataFrame, path: str, strict: bool = True) -> None:
-    """Check before publishing, so that bad figures never reach readers."""
-    summary = build_annual_summary(facts)
-    write_summary(validate(summary) if strict else summary, path)
+    """Write beside the published table, check what was written, and put it in place.
+
+    Bad figures never reach readers, and the summary is computed once.
+    """
+    staging = f"{path.rstrip('/')}.staging"
+    write_summary(build_annual_summary(facts), staging)
+    spark = facts.sparkSession
+    if strict:
+        validate(read_summary(spark, staging))
+    move_folder(spark, staging, path)

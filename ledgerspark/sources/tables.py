@@ -33,15 +33,24 @@ def write_sections(sections: DataFrame, path: str) -> None:
     sections.write.mode("overwrite").partitionBy("section").parquet(path)
 
 
-def write_summary(summary: DataFrame, path: str) -> None:
+def write_summary(summary: DataFrame, path: str, tasks_per_year: int = 32) -> None:
     """Partitioned by year, so a question about some years reads only those folders.
 
     Rows are gathered by year first, with a second key so that one year is not one task.
     """
-    spread = summary.repartition("fiscal_year", F.pmod(F.hash("entity"), F.lit(32)))
+    spread = summary.repartition("fiscal_year", F.pmod(F.hash("entity"), F.lit(tasks_per_year)))
     spread.write.mode("overwrite").partitionBy("fiscal_year").parquet(path)
 
 
+def move_folder(spark: SparkSession, source: str, target: str) -> None:
+    """Put a finished folder in the place of another one."""
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    files = paths(source).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(paths(target), True)
+    if not files.rename(paths(source), paths(target)):
+        raise OSError(f"{source} could not be moved to {target}")
+
+
 def read_summary(spark: SparkSession, path: str) -> DataFrame:
     """Read a published summary; a missing path is an error."""
     return spark.read.parquet(path)

@@ -215,3 +215,35 @@ def test_chunk_files_and_tables(spark, tmp_path):
     row = tables.with_display_fallbacks(old).first()
     assert (row["display_topic_label"], row["excerpt"]) == ("Theme", "t")
     assert tables.publish_view(chunks, "chunk_view").count() == 2
+
+
+def test_whole_files_and_metadata(spark, tmp_path):
+    (tmp_path / "a.htm").write_text("<p>one</p>\n<p>two</p>")
+    (tmp_path / "b.htm").write_text("")
+    read = {r["filing_id"].rsplit("/", 1)[-1]: r["html"] for r in filings.read_text_files(spark, str(tmp_path / "*.htm")).collect()}
+    assert read["a.htm"] == "<p>one</p>\n<p>two</p>"
+    (tmp_path / "section.txt").write_text("Item 1A.\nText 😀")
+    assert filings.read_text_files(spark, str(tmp_path / "section.txt"), "text").first()["text"] == "Item 1A.\nText 😀"
+    known = {"company": "Example Inc.", "cik": "0000000009", "form": "10-K", "filing_date": "2025-10-31"}
+    (tmp_path / "m.json").write_text(json.dumps(known, indent=1))
+    row = filings.read_filing_metadata(spark, str(tmp_path / "m.json")).first()
+    assert (row["company"], row["filing_date"], row["source_url"]) == ("Example Inc.", "2025-10-31", None)
+
+
+def test_sections_and_managed_tables(spark, tmp_path):
+    rows = [(1, "Item 1A", "a"), (1, "Item 7", "b"), (2, "Item 7", "c")]
+    sections = spark.createDataFrame(rows, "filing_id int, section string, text string")
+    tables.write_sections(sections, str(tmp_path / "sections"))
+    back = spark.read.parquet(str(tmp_path / "sections"))
+    assert sorted((r["filing_id"], r["section"], r["text"]) for r in back.collect()) == rows
+    assert back.filter("section = 'Item 7'").count() == 2
+    try:
+        assert tables.publish_table(sections.limit(1), "ledger_sections_test").count() == 1
+        assert tables.publish_table(sections, "ledger_sections_test").count() == 3
+    finally:
+        spark.sql("DROP TABLE IF EXISTS ledger_sections_test")
+
+
+def test_years_latest_first(spark):
+    rows = reshape.years_descending(summary(spark, *two_years())).collect()
+    assert [list(r["years"]) for r in rows] == [[2025, 2024]]

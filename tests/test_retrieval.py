@@ -68,10 +68,10 @@ def test_vectors_have_unit_length(docs):
     assert {r["doc_id"] for r in rows} == {1, 2, 3, 5} and all(r["n"] == pytest.approx(1) for r in rows)
 
 
-@pytest.mark.parametrize("small", [True, False, None])
-def test_matches_brute_force(docs, queries, small):
+@pytest.mark.parametrize("block_rows", [1_000_000, 20])
+def test_matches_brute_force(docs, queries, block_rows):
     index = tfidf.fit_tfidf(docs.drop("scope"))
-    found = hit_map(retrieval.retrieve(queries.drop("scope"), index, 3, small=small))
+    found = hit_map(retrieval.retrieve(queries.drop("scope"), index, 3, block_rows=block_rows))
     expected = brute_force([(d, t) for d, _, t in DOCS], [(q, t) for q, _, t in QUESTIONS], 3)
     assert found == {q: h for q, h in expected.items() if h}
 
@@ -132,3 +132,25 @@ def test_references_list_what_is_cited(spark):
     got = {r["question_id"]: r for r in retrieval.reference_list(answers, hits, metadata).collect()}
     assert got[1]["reference_lines"] == "[2] Acme Inc. 10-K — B" and got[2]["reference_lines"] == ""
     assert got[1]["filing_source"] == "Acme Inc. 10-K, filed 2025-10-31\nu"
+
+
+def test_hits_are_filled_up(spark, docs, queries):
+    hits = retrieval.retrieve(queries.drop("scope"), tfidf.fit_tfidf(docs.drop("scope")), k=3)
+    full = retrieval.pad_hits(hits, queries.drop("scope"), docs, k=3)
+    by = {}
+    for r in full.orderBy("question_id", "rank").collect():
+        by.setdefault(r["question_id"], []).append((r["doc_id"], r["retrieval_score"]))
+    assert {q: len(v) for q, v in by.items()} == {1: 3, 2: 3, 3: 3}
+    assert by[3] == [(5, 0.0), (4, 0.0), (3, 0.0)]
+    found = {(r["question_id"], r["doc_id"]) for r in hits.collect()}
+    assert all(((q, d) in found) == (s > 0) for q, v in by.items() for d, s in v)
+    scoped = retrieval.pad_hits(hits.join(docs.select("scope", "doc_id"), "doc_id").limit(0), queries, docs, 2, scope=("scope",))
+    assert {(r["question_id"], r["doc_id"]) for r in scoped.collect()} == {(1, 2), (1, 1), (2, 5), (2, 4), (3, 5), (3, 4)}
+
+
+def test_references_without_a_known_filing(spark):
+    answers = spark.createDataFrame([(1, 7, "a [1]"), (2, 8, "b [1]")], "question_id int, filing_id int, answer string")
+    hits = spark.createDataFrame([(1, 1, "Risk"), (2, 1, "Risk")], "question_id int, rank int, source_title string")
+    known = spark.createDataFrame([(7, "Acme", "10-K", "2025-01-01", "u")], "filing_id int, company string, form string, filing_date string, source_url string")
+    out = {r["question_id"]: tuple(r)[1:] for r in retrieval.reference_list(answers, hits, known).collect()}
+    assert out == {1: ("[1] Acme 10-K — Risk", "Acme 10-K, filed 2025-01-01\nu"), 2: ("[1] — Risk", None)}

@@ -125,3 +125,17 @@ def test_filing_to_section_chunks(spark):
     rows = section_chunks(filings, RISK_SECTION, 0).orderBy("chunk_id").collect()
     assert len(rows) == 3 and all(len(r["text"]) <= 1500 for r in rows)
     assert rows[0]["text"].startswith("Item 1A. Risk Factors The following summarizes factors.")
+
+
+@pytest.mark.parametrize("k", [3, 5, 11])
+def test_assignment_is_the_best_and_first(spark, k):
+    import random
+    from itertools import permutations
+
+    rng = random.Random(k)
+    gain = [[float(rng.randrange(4)) for _ in range(k)] for _ in range(k)]
+    scores = spark.createDataFrame([(c, t, gain[c][t]) for c in range(k) for t in range(k) if gain[c][t]], "component int, topic_id int, score double")
+    got = [r["topic_id"] for r in topics.assign_topics(scores, tuple(range(k))).orderBy("component").collect()]
+    assert sorted(got) == list(range(k))
+    if k < 8:
+        assert tuple(got) == max(permutations(range(k)), key=lambda p: (sum(gain[c][t] for c, t in enumerate(p)), [-t for t in p]))
