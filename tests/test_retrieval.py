@@ -88,7 +88,7 @@ def test_scopes_are_separate_corpora(docs, queries):
 def test_pairs_are_not_shuffled(spark, docs, queries):
     index = tfidf.fit_tfidf(docs.drop("scope"))
     vectors_df = tfidf.query_vectors(queries.drop("scope"), index)
-    plan = retrieval.score_documents(vectors_df, index, "question_id", True)._jdf.queryExecution().executedPlan().toString()
+    plan = retrieval.score_documents(vectors_df, index, "question_id")._jdf.queryExecution().executedPlan().toString()
     top = plan.split("BroadcastHashJoin")[0]
     assert "HashAggregate" in top and "Exchange" not in top
 
