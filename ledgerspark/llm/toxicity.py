@@ -22,6 +22,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ledgerspark.llm.common import map_texts, reachable, uniform, written
 
@@ -193,6 +194,19 @@ def _raw_scores(trees, rows: DataFrame) -> DataFrame:
     return scored.withColumn("raw", vector_to_array("probability")[1])
 
 
+def _with_features(rows: DataFrame, lexicon: dict[str, int], text: str) -> DataFrame:
+    """``rows`` with the features of column ``text`` as array x."""
+    sent = rows.sparkSession.sparkContext.broadcast(lexicon)  # LEXICON_SIZE entries at most
+    state: dict[str, WordCodes] = {}
+
+    def body(batch: pa.RecordBatch) -> pa.RecordBatch:
+        codes = state.setdefault("codes", WordCodes(sent.value))
+        x = pa.array([features(t, codes) for t in batch[text].to_pylist()], pa.list_(pa.float64()))
+        return pa.RecordBatch.from_arrays([*batch.columns, x], names=[*batch.schema.names, "x"])
+
+    return map_texts(rows, text, body, StructType([*rows.schema.fields, StructField("x", ArrayType(DoubleType()))]))
+
+
 def _featured(rows: DataFrame, lexicon: dict[str, int], *keys: str) -> DataFrame:
     """``rows`` with the features as array x in place of the text."""
     kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
@@ -323,9 +337,11 @@ def toxicity(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_c
 def reject_toxic(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """``df`` without the rows predicted toxic; all columns stay."""
     model = train(df, labels, id_column=id_column, text_column=text_column, **options)
-    scored = model.score(df, id_column, text_column)
-    # a table of its own, so that the planner sees how small it is beside the texts
-    bad = written(scored.filter("predicted = 1").select("id", "text_hash").distinct())
-    id_, hash_ = F.col(f"`{id_column}`"), F.xxhash64(f"`{text_column}`")
-    bad = bad.toDF("bad_id", "bad_hash")
-    return df.join(bad, id_.eqNullSafe(F.col("bad_id")) & (hash_ == F.col("bad_hash")), "left_anti")
+    if model.trees is None:
+        return df if model.constant < PREDICT_AT else df.limit(0)
+    # rows pass through with their features, so texts are neither joined nor moved
+    names = [f"c{i}" for i in range(len(df.columns))]
+    rows = df.toDF(*names)
+    featured = _with_features(rows, model.lexicon, names[df.columns.index(text_column)])
+    kept = model._calibrated(featured).filter(F.col("score") < PREDICT_AT)
+    return kept.select(*names).toDF(*df.columns)
