@@ -40,7 +40,7 @@ MIN_JOINT = 3
 REMOVE_AT, GENERALISE_AT = 0.99, 0.96
 STRIPPED = ".,;:!?()[]{}<>|\"'*#%$&=+-_/\\"
 MIN_TERM = 3
-COUNTED = 500_000
+COUNTED = 250_000
 ASCII_SPACE = " \t\n\v\f\r"
 
 SCHEMA = (

@@ -82,33 +82,35 @@ def fingerprints(
 def keyed(distinct: DataFrame) -> DataFrame:
     """(half, key, fp): the keys under which a fingerprint may meet one within three bits.
 
+    ``distinct`` has fp and may have ``space``; fingerprints of different spaces never meet. The half
+    that is quiet and the space share a number: twice the space, plus 0 for the high half and 1 for
+    the low one.
+
     A key with one bit flipped is needed from either side if the other half differs in one bit too,
     and from fingerprints of even weight only if it differs in two, which changes the weight's parity.
     """
 
-    def rows(fp: np.ndarray, half: int, flipped: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        key = fp >> SHIFT if half == 0 else fp & LOW
-        near = key[flipped]
-        return [
-            (half, key, fp),
-            (half, (near[:, None] ^ FLIPS1).ravel(), np.repeat(fp[flipped], len(FLIPS1))),
-        ]
+    def rows(fp: np.ndarray, half: np.ndarray, key: np.ndarray, flipped: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+        near = (key[flipped][:, None] ^ FLIPS1).ravel()
+        each = lambda x: np.repeat(x[flipped], len(FLIPS1))
+        return [(half, key, fp), (each(half), near, each(fp))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch["fp"].to_numpy(zero_copy_only=False).view(np.uint64)
-            even = np.bitwise_count(fp) % 2 == 0
-            for half, key, who in rows(fp, 0, np.ones(len(fp), bool)) + rows(fp, 1, even):
+            twice = 2 * batch["space"].to_numpy(zero_copy_only=False).astype(np.int32)
+            even, all_ = np.bitwise_count(fp) % 2 == 0, np.ones(len(fp), bool)
+            for half, key, who in rows(fp, twice, fp >> SHIFT, all_) + rows(fp, twice + 1, fp & LOW, even):
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(len(key), half, np.int32)),
+                        pa.array(half.astype(np.int32)),
                         pa.array(key.astype(np.int64)),
                         pa.array(who.view(np.int64)),
                     ],
                     names=["half", "key", "fp"],
                 )
 
-    return reachable(distinct.select("fp")).mapInArrow(run, "half int, key bigint, fp bigint")
+    return reachable(distinct.select("space", "fp")).mapInArrow(run, "half int, key bigint, fp bigint")
 
 
 def _roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -187,19 +189,24 @@ def _links_of_keys(rows: DataFrame) -> DataFrame:
         keys, fps = table
         begins = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[0]
         ends = np.append(begins[1:], len(keys))
-        found = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
+        found = [(np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
         for b, e in zip(begins[ends - begins > 1].tolist(), ends[ends - begins > 1].tolist()):
-            found.append(link_group(int(keys[b] >> SHIFT), int(keys[b] & LOW), fps[b:e]))
-        a, b = (np.concatenate(x).view(np.int64) for x in zip(*found))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            half = int(keys[b] >> SHIFT)
+            left, right = link_group(half % 2, int(keys[b] & LOW), fps[b:e])
+            found.append((np.full(len(left), half // 2, np.int32), left, right))
+        space, a, b = (np.concatenate(x) for x in zip(*found))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(space), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["space", "a", "b"]
+        )
 
-    return rows.mapInArrow(stream, "a bigint, b bigint")
+    return rows.mapInArrow(stream, "space int, a bigint, b bigint")
 
 
 def _links_of_hot_keys(rows: DataFrame) -> DataFrame:
     """The same links with every variant as a row: only minima are kept per variant."""
-    quiet = F.when(F.col("half") == 0, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(0xFFFFFFFF))
-    rest = F.when(F.col("half") == 0, F.col("fp").bitwiseAND(0xFFFFFFFF)).otherwise(F.shiftrightunsigned("fp", 32))
+    high = F.col("half") % 2 == 0
+    quiet = F.when(high, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(0xFFFFFFFF))
+    rest = F.when(high, F.col("fp").bitwiseAND(0xFFFFFFFF)).otherwise(F.shiftrightunsigned("fp", 32))
     flips1 = F.array(*[F.lit(int(m)) for m in FLIPS1])
     flips2 = F.array(*[F.lit(int(m)) for m in FLIPS2])
     near = F.concat(F.array(F.lit(0).cast("bigint")), F.when(quiet == F.col("key"), flips1).otherwise(F.array().cast("array<bigint>")))
@@ -211,16 +218,21 @@ def _links_of_hot_keys(rows: DataFrame) -> DataFrame:
     far = rows.filter(quiet == F.col("key")).select("half", "key", "fp", F.explode(flips2).alias("flip")).select(
         "half", "key", rest.bitwiseXOR(F.col("flip")).alias("spot"), "fp"
     )
-    met = close.unionByName(far).join(centres, ["half", "key", "spot"]).select(F.col("fp").alias("a"), "b")
+    met = close.unionByName(far).join(centres, ["half", "key", "spot"]).select(
+        F.floor(F.col("half") / 2).cast("int").alias("space"), F.col("fp").alias("a"), "b"
+    )
     return met.filter((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)).distinct()
 
 
 def link(distinct: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
-    """(a, b): links that connect every two distinct fingerprints within three bits."""
+    """(space, a, b): links that connect every two distinct fingerprints of a space within three bits."""
+    if "space" not in distinct.columns:
+        distinct = distinct.withColumn("space", F.lit(0))
     rows = keyed(distinct)
+    twice = F.col("space") * 2
     halves = F.array(
-        F.struct(F.lit(0).alias("half"), F.shiftrightunsigned("fp", 32).alias("key")),
-        F.struct(F.lit(1).alias("half"), F.col("fp").bitwiseAND(0xFFFFFFFF).alias("key")),
+        F.struct(twice.alias("half"), F.shiftrightunsigned("fp", 32).alias("key")),
+        F.struct((twice + 1).alias("half"), F.col("fp").bitwiseAND(0xFFFFFFFF).alias("key")),
     )
     counts = distinct.select(F.explode(halves).alias("h")).groupBy("h.half", "h.key").count()
     flips = F.array(F.lit(0).cast("bigint"), *[F.lit(int(m)) for m in FLIPS1])

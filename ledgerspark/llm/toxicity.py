@@ -34,7 +34,7 @@ STRONG = 3.0
 PREFIXES = (4, 5, 6)
 PREDICT_AT = 0.7
 DOUBTS = 2
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 NEAR, STRETCH = 5, 50
 
 SECOND_PERSON = frozenset(
