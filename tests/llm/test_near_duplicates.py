@@ -131,3 +131,31 @@ def test_one_document_of_each_group_stays(spark):
     # what stays of a group beside its first has no similar text that stays
     left = [(a, b) for g in groups for a in g for b in g if a < b and near_dedup.similarity(sets[a], sets[b]) >= 0.8]
     assert all(5 * i in g for i, g in enumerate(groups)) and len(left) <= 2
+
+
+@pytest.mark.parametrize("length", [30, 60, 150, 400])
+def test_candidates_at_the_threshold(length):
+    """Texts just as alike as the threshold asks meet in a band, whatever the edit."""
+    rng = np.random.default_rng(length)
+
+    def words(n):
+        return [f"w{min(int(x), 20_000)}" for x in rng.zipf(1.3, n)]
+
+    def edits(base):
+        cut = round(length * rng.uniform(0.05, 0.22))
+        at = int(rng.integers(length - cut))
+        replaced = list(base)
+        for i in rng.choice(length, max(1, length // 60), replace=False):
+            replaced[i] = f"new{i}"
+        return base[:-cut], base[cut:], base[:at] + base[at + cut :], base + words(cut), replaced
+
+    seen = 0
+    for _ in range(150):
+        base = words(length)
+        a = near_dedup.shingle_set(" ".join(base))
+        for other in edits(base):
+            b = near_dedup.shingle_set(" ".join(other))
+            if 0.8 <= near_dedup.similarity(a, b) < 0.9:
+                seen += 1
+                assert set(near_dedup.band_keys(a)) & set(near_dedup.band_keys(b))
+    assert seen > 100
