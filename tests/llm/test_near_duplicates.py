@@ -159,3 +159,30 @@ def test_candidates_at_the_threshold(length):
                 seen += 1
                 assert set(near_dedup.band_keys(a)) & set(near_dedup.band_keys(b))
     assert seen > 100
+
+
+def test_no_similar_pair_is_lost_in_a_large_group(spark):
+    """Variants of one base, most of them unlike each other: groups as by all pairs."""
+    rng = random.Random(6)
+    vocabulary = [f"word{i}" for i in range(3000)]
+    base = rng.choices(vocabulary, k=150)
+    texts = [edited(rng, base, rng.randint(2, 4)) for _ in range(60)]
+    texts += [edited(rng, t.split(), 1) for t in texts[:20]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    sets = [set(np.frombuffer(near_dedup.shingle_set(t), np.uint64).tolist()) for t in texts]
+    keys = [set(near_dedup.band_keys(near_dedup.shingle_set(t))) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if keys[i] & keys[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    expected = {i for i in range(len(texts)) if find(i) == i}
+    assert {r.doc_id for r in near_dedup.deduplicate(df).collect()} == expected
+    assert len(expected) < 60
