@@ -44,6 +44,18 @@ def run(spark, name: str, sf_dir: str) -> float:
     return time.perf_counter() - begin
 
 
+def report(seconds: dict[str, float], sf_dir: str) -> str:
+    return json.dumps(
+        {
+            "metric": "headline_queries_total",
+            "value": round(sum(seconds.values()), 3),
+            "unit": "sec",
+            "queries": seconds,
+            "sf": os.path.basename(os.path.normpath(sf_dir)).removeprefix("sf"),
+        }
+    )
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -61,23 +73,13 @@ def main() -> None:
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
-    seconds = {}
+    seconds: dict[str, float] = {}
     for name in names:
         run(spark, name, sf_dir)
         seconds[name] = round(statistics.median(run(spark, name, sf_dir) for _ in range(RUNS)), 3)
-        print(f"{name} {seconds[name]}", file=sys.stderr, flush=True)
-    print(
-        json.dumps(
-            {
-                "metric": "headline_queries_total",
-                "value": round(sum(seconds.values()), 3),
-                "unit": "sec",
-                "queries": seconds,
-                "sf": os.path.basename(os.path.normpath(sf_dir)).removeprefix("sf"),
-            }
-        ),
-        flush=True,
-    )
+        # the figures so far, should a later query not end
+        print(report(seconds, sf_dir), file=sys.stderr, flush=True)
+    print(report(seconds, sf_dir), flush=True)
     spark.stop()
 
 

@@ -94,8 +94,13 @@ def _runs(words: Column, n: int) -> Column:
 
 
 def ngrams(words: Column, longest: int = 2) -> Column:
-    """The words themselves followed by every run of up to ``longest`` neighbours."""
-    return F.concat(words, *[_runs(words, n) for n in range(2, longest + 1)]) if longest > 1 else words
+    """The words themselves followed by every run of up to ``longest`` neighbours.
+
+    The words are bound once: read inside a lambda, an expression would be evaluated per position.
+    """
+    if longest <= 1:
+        return words
+    return bind(words, lambda bound: F.concat(bound, *[_runs(bound, n) for n in range(2, longest + 1)]))
 
 
 def contains_any(col: Column, needles: Iterable[str]) -> Column:
