@@ -253,9 +253,10 @@ def cluster(
     df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words_each: int = SHINGLE, seed: int = SEED,
     hot_key: int = HOT_KEY,
 ) -> DataFrame:
-    """(id, text_hash, fp, component): the smallest id that links reach from each row.
+    """(id, text_hash, fp, root, component): the smallest id that links reach from each row.
 
-    One row per row of ``df``; repeated rows share a component. NULL and empty texts have fingerprint
+    ``root``, the smallest linked fingerprint, names the group even where all its ids are NULL. One row
+    per row of ``df``; repeated rows share a component. NULL and empty texts have fingerprint
     zero and link like any other. A NULL id never names a component unless all its ids are NULL.
     """
     rows = written(fingerprints(df, id_column, text_column, words_each, seed))
@@ -266,7 +267,7 @@ def cluster(
     )
     rooted = written(rooted)
     named = written(rooted.groupBy("root").agg(F.min("least").alias("component")))
-    named = written(rooted.join(named, "root").select("fp", "component"))
+    named = written(rooted.join(named, "root").select("fp", "root", "component"))
     return rows.join(named, "fp")
 
 
@@ -277,3 +278,34 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("component").alias("component_id"),
     )
+
+
+def deduplicate(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options: int) -> DataFrame:
+    """``df`` with one row of each group of linked fingerprints, that of the smallest id.
+
+    All columns stay. Repeated rows become one; texts without words, NULL included, share fingerprint
+    zero and so one group; of equal ids the smaller text hash stays, NULL ids come last. An empty
+    table gives an empty result.
+    """
+    rows = written(cluster(df, id_column, text_column, **options).select("id", "text_hash", "root"))
+    # NULL ids come last: a named document is kept before one without an id
+    place = F.struct(F.col("id").isNull().alias("nameless"), "id", "text_hash")
+    first = rows.groupBy("root").agg(F.min(place).alias("first")).select("root", "first.id", "first.text_hash")
+    first = written(first.select("root", F.col("id").alias("first_id"), F.col("text_hash").alias("first_hash")))
+    stays = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))
+    decided = written(
+        rows.groupBy("root", "id", "text_hash").agg(F.count("*").alias("n")).join(first, "root").select("id", "text_hash", "n", stays.alias("stays"))
+    )
+    hashed = F.xxhash64(F.col(f"`{text_column}`"))
+
+    def keyed(keys: DataFrame, how: str, of: DataFrame) -> DataFrame:
+        named = keys.select(F.col("id").alias("key_id"), F.col("text_hash").alias("key_hash"))
+        return of.join(named, F.col(f"`{id_column}`").eqNullSafe(F.col("key_id")) & (hashed == F.col("key_hash")), how)
+
+    # rows that go and keys that repeat are the fewer: the rest is only probed
+    rest = keyed(written(decided.filter("NOT stays")), "left_anti", df)
+    repeated = written(decided.filter("stays AND n > 1"))
+    if repeated.isEmpty():
+        return rest
+    once = keyed(repeated, "left_semi", rest).withColumn("__text", hashed).dropDuplicates([id_column, "__text"]).drop("__text")
+    return keyed(repeated, "left_anti", rest).unionByName(once)

@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from corpus import awkward, documents, empty
 
-from ledgerspark.llm import near_dedup, simhash
+from ledgerspark.llm import simhash
 from ledgerspark.llm.components import components
 
 
@@ -102,87 +102,23 @@ def test_awkward_and_empty(spark):
     assert {r.component_id for r in rows if r.doc_id in (1, 2, 3)} == {1}
     assert {(r.fingerprint, r.component_id) for r in rows if r.doc_id in (4, 5)} == {(f"{brute_fingerprint(awkward(spark).filter('doc_id = 5').first().text):016x}", 4)}
     assert simhash.near_duplicates(empty(spark)).collect() == []
-    kept = near_dedup.deduplicate(awkward(spark))
+    kept = simhash.deduplicate(awkward(spark))
     assert kept.columns == awkward(spark).columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "4", "6", "7", "None"]
-    assert near_dedup.deduplicate(empty(spark)).collect() == []
-
-
-def edited(rng, words, edits):
-    words = list(words)
-    for at in rng.sample(range(len(words)), edits):
-        words[at] = f"edit{rng.randrange(10**6)}"
-    return " ".join(words)
+    assert simhash.deduplicate(empty(spark)).collect() == []
 
 
 def test_one_document_of_each_group_stays(spark):
-    rng = random.Random(5)
-    vocabulary = [f"word{i}" for i in range(3000)]
-    texts = []
-    for _ in range(25):
-        base = rng.choices(vocabulary, k=250)
-        texts += [" ".join(base)] * 2 + [edited(rng, base, 2) for _ in range(3)]
-    texts += [" ".join(rng.choices(vocabulary, k=80)) for _ in range(60)]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    kept = {r.doc_id for r in near_dedup.deduplicate(df).collect()}
-    sets = [near_dedup.shingle_set(t) for t in texts]
-    assert kept >= set(range(125, 185)), "documents without a near copy stay"
-    groups = [[k for k in range(5 * g, 5 * g + 5) if k in kept] for g in range(25)]
-    # what stays of a group beside its first has no similar text that stays
-    left = [(a, b) for g in groups for a in g for b in g if a < b and near_dedup.similarity(sets[a], sets[b]) >= 0.8]
-    assert all(5 * i in g for i, g in enumerate(groups)) and len(left) <= 2
-
-
-@pytest.mark.parametrize("length", [30, 60, 150, 400])
-def test_candidates_at_the_threshold(length):
-    """Texts just as alike as the threshold asks meet in a band, whatever the edit."""
-    rng = np.random.default_rng(length)
-
-    def words(n):
-        return [f"w{min(int(x), 20_000)}" for x in rng.zipf(1.3, n)]
-
-    def edits(base):
-        cut = round(length * rng.uniform(0.05, 0.22))
-        at = int(rng.integers(length - cut))
-        replaced = list(base)
-        for i in rng.choice(length, max(1, length // 60), replace=False):
-            replaced[i] = f"new{i}"
-        return base[:-cut], base[cut:], base[:at] + base[at + cut :], base + words(cut), replaced
-
-    seen = 0
-    for _ in range(150):
-        base = words(length)
-        a = near_dedup.shingle_set(" ".join(base))
-        for other in edits(base):
-            b = near_dedup.shingle_set(" ".join(other))
-            if 0.8 <= near_dedup.similarity(a, b) < 0.9:
-                seen += 1
-                assert set(near_dedup.band_keys(a)) & set(near_dedup.band_keys(b))
-    assert seen > 100
-
-
-def test_no_similar_pair_is_lost_in_a_large_group(spark):
-    """Variants of one base, most of them unlike each other: groups as by all pairs."""
-    rng = random.Random(6)
-    vocabulary = [f"word{i}" for i in range(3000)]
-    base = rng.choices(vocabulary, k=150)
-    texts = [edited(rng, base, rng.randint(2, 4)) for _ in range(60)]
-    texts += [edited(rng, t.split(), 1) for t in texts[:20]]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    sets = [set(np.frombuffer(near_dedup.shingle_set(t), np.uint64).tolist()) for t in texts]
-    keys = [set(near_dedup.band_keys(near_dedup.shingle_set(t))) for t in texts]
-    root = list(range(len(texts)))
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for i in range(len(texts)):
-        for j in range(i):
-            if keys[i] & keys[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-    expected = {i for i in range(len(texts)) if find(i) == i}
-    assert {r.doc_id for r in near_dedup.deduplicate(df).collect()} == expected
-    assert len(expected) < 60
+    """The kept ids are the smallest of the groups that brute force finds; all columns stay."""
+    docs = documents(spark)
+    expected = set(brute_components({r.doc_id: brute_fingerprint(r.text) for r in docs.collect()}).values())
+    kept = simhash.deduplicate(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(expected)
+
+
+def test_rows_without_an_id(spark):
+    """A named row is kept before one without an id; groups without any id keep one row each."""
+    rows = [(None, "a b c d e f g", 1), (7, "a b c d e f g", 2), (7, "a b c d e f g", 3), (None, "x y z", 4), (None, "x y z", 5), (None, "q r s t", 6)]
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string, root int")).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == [("7", "a b c d e f g"), ("None", "q r s t"), ("None", "x y z")]
