@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 
 from ledgerspark import constants as C
 from ledgerspark.functions.text import contains_any
+from ledgerspark.operators.index import StoredIndex, store_index
 from ledgerspark.operators.tfidf import TfidfIndex, query_vectors
+from ledgerspark.sources.tables import scratch_table
 
+# what rounding may take from a sum of products of unit vectors
+TOLERANCE = 1e-9
 # Query-vector rows (about 60 bytes each) that are sent whole to every executor at a time.
 BLOCK_ROWS = 1_000_000
 
@@ -38,25 +42,94 @@ def needs_explanation(text: Column, terms=C.EXPLANATION_TERMS) -> Column:
     return contains_any(F.lower(text), terms)
 
 
-def score_documents(vectors: DataFrame, index: TfidfIndex, query_id: str = "question_id") -> DataFrame:
-    """Cosine of every question of one block with every document that shares a term.
+def scores_of_pairs(pairs: DataFrame, vectors: DataFrame, index: StoredIndex, query_id: str = "question_id") -> DataFrame:
+    """(scope…, doc, question, score): the cosine over the given terms of the given pairs.
 
-    Term counts arrive hashed by document and the block's vectors, whose size the caller bounds, are
-    sent to the executors: counts are first cut down to the questions' terms and the sum per
-    (question, document) is local, so no pair is ever shuffled.
+    ``vectors`` (scope…, question, term, query_weight) is one block's and is sent to the executors; the
+    corpus is read by bucket of the document, where the pairs come to it.
     """
-    scope, doc = list(index.spec.scope), index.doc_id
-    queries = F.broadcast(vectors.withColumnRenamed("weight", "query_weight").drop("idf"))
-    asked = F.broadcast(vectors.select(*scope, "term", "idf").distinct())
-    relevant = index.counts.join(asked, [*scope, "term"]).join(index.lengths, doc)
-    weight = F.try_divide(F.col("tf") * F.col("idf"), F.col("length")).alias("weight")
-    pairs = relevant.select(*scope, doc, "term", weight).join(queries, [*scope, "term"])
-    return pairs.groupBy(*scope, doc, query_id).agg(F.sum(F.col("weight") * F.col("query_weight")).alias("score"))
+    keys, doc = list(index.spec.scope), index.doc_id
+    # a document id is of one scope; joined by it alone, the buckets serve
+    met = index.forward.join(pairs.select(doc, query_id), doc)
+    met = met.join(F.broadcast(vectors.select(*keys, query_id, "term", "query_weight")), [*keys, query_id, "term"])
+    return met.groupBy(*keys, doc, query_id).agg(F.sum(F.col("weight") * F.col("query_weight")).alias("score"))
+
+
+def first_guesses(vectors: DataFrame, index: StoredIndex, k: int, query_id: str = "question_id") -> DataFrame:
+    """(scope…, question, doc): documents that stand high in the heads of a question's terms."""
+    keys, doc = list(index.spec.scope), index.doc_id
+    heads = index.heads.join(F.broadcast(vectors), [*keys, "term"]).select(
+        *keys, query_id, "query_weight", F.explode("postings").alias("p")
+    )
+    partial = heads.groupBy(*keys, query_id, F.col("p.doc").alias(doc)).agg(
+        F.sum(F.col("query_weight") * F.col("p.weight")).alias("partial")
+    )
+    best = Window.partitionBy(query_id).orderBy(F.col("partial").desc(), F.col(doc).desc())
+    return partial.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= 2 * k).drop("_n", "partial")
+
+
+def split_terms(vectors: DataFrame, floors: DataFrame, index: StoredIndex, query_id: str = "question_id") -> DataFrame:
+    """``vectors`` with ``essential``, ``rest`` and ``floor``.
+
+    A term adds at most its weight times the largest weight of a document. Terms are summed from the
+    smallest such bound; as long as the sum stays under the question's floor, a document that holds
+    none of the other terms can't be a hit. ``rest`` is what the terms left aside may add together.
+    """
+    keys = list(index.spec.scope)
+    known = vectors.join(index.heads.select(*keys, "term", "largest"), [*keys, "term"]).join(floors, query_id, "left")
+    bound = known.withColumns(
+        {"_bound": F.col("query_weight") * F.col("largest"), "floor": F.coalesce("floor", F.lit(0.0))}
+    )
+    smallest = Window.partitionBy(query_id).orderBy("_bound", "term").rowsBetween(Window.unboundedPreceding, 0)
+    summed = bound.withColumn("_sum", F.sum("_bound").over(smallest))
+    split = summed.withColumn("essential", F.col("_sum") + TOLERANCE >= F.col("floor"))
+    whole = Window.partitionBy(query_id)
+    rest = F.coalesce(F.max(F.when(~F.col("essential"), F.col("_sum"))).over(whole), F.lit(0.0))
+    return split.withColumn("rest", rest).select(*keys, query_id, "term", "query_weight", "essential", "rest", "floor")
+
+
+def candidates(terms: DataFrame, index: StoredIndex, query_id: str = "question_id") -> DataFrame:
+    """(scope…, doc, question, partial): documents whose essential terms leave a chance of a hit.
+
+    The corpus stays in its buckets, no pair is shuffled, and what can't be a hit is dropped in place.
+    """
+    keys, doc = list(index.spec.scope), index.doc_id
+    asked = F.broadcast(terms.filter("essential").drop("essential"))
+    pairs = index.forward.join(asked, [*keys, "term"])
+    summed = pairs.groupBy(*keys, doc, query_id).agg(
+        F.sum(F.col("weight") * F.col("query_weight")).alias("partial"), F.max("rest").alias("rest"), F.max("floor").alias("floor")
+    )
+    return summed.filter(F.col("partial") + F.col("rest") + TOLERANCE >= F.col("floor")).drop("rest", "floor")
+
+
+def pruned_scores(queries: DataFrame, index: StoredIndex, k: int, query_id: str, text: str) -> DataFrame:
+    """(scope…, doc, question, score) of every document that may be among a question's k best.
+
+    1. The heads of the question's terms give first guesses, whose exact scores set a floor: the k-th
+       best of them is beaten or met by every hit.
+    2. Terms that can't lift a document over the floor by themselves are left aside (the common ones,
+       with most postings); documents are found by the essential ones only.
+    3. What could still reach the floor with the terms left aside is scored over those too.
+    """
+    keys, doc = list(index.spec.scope), index.doc_id
+    weighed = query_vectors(queries, index, query_id, text).withColumnRenamed("weight", "query_weight")
+    vectors = scratch_table(weighed.select(*keys, query_id, "term", "query_weight"))
+    guesses = scores_of_pairs(scratch_table(first_guesses(vectors, index, k, query_id)), vectors, index, query_id)
+    place = Window.partitionBy(query_id).orderBy(F.col("score").desc())
+    floors = guesses.withColumn("_n", F.row_number().over(place)).filter(F.col("_n") == k)
+    floors = floors.select(query_id, F.col("score").alias("floor"))
+    terms = scratch_table(split_terms(vectors, floors, index, query_id))
+    found = candidates(terms, index, query_id)
+    added = scores_of_pairs(found, terms.filter("NOT essential"), index, query_id)
+    parts = found.withColumnRenamed("partial", "score").unionByName(added)
+    return parts.groupBy(*keys, doc, query_id).agg(F.sum("score").alias("score"))
 
 
 def top_documents(scores: DataFrame, k: int, query_id: str, doc_id: str, decimals: int = 4) -> DataFrame:
     """The k best documents of each question; a window limit trims each task before the shuffle.
 
+    Only documents that passed the question's floor come here, not every scored pair.
+
     Scores are compared after rounding to ten decimals, so the order does not depend on the order
     of additions; of equal scores the larger document id comes first.
     """
@@ -67,7 +140,7 @@ def top_documents(scores: DataFrame, k: int, query_id: str, doc_id: str, decimal
 
 def retrieve(
     questions: DataFrame,
-    index: TfidfIndex,
+    index: StoredIndex | TfidfIndex,
     k: int = 3,
     query_id: str = "question_id",
     text: str = "text",
@@ -78,19 +151,17 @@ def retrieve(
 
     Documents that share no term with a question are not listed. Questions are taken in blocks by
     hash, as many as keep a block's vectors under about ``block_rows`` rows; a question's hits all
-    come from its own block, so the result doesn't depend on their number.
+    come from its own block, so the result doesn't depend on their number; the corpus is read once more
+    per block. An index that isn't stored yet is written to a scratch folder first.
     """
+    if not isinstance(index, StoredIndex):
+        index = store_index(index)
     if expand is not None:
         questions = questions.withColumn(text, expand_query(F.col(text), expand))
     blocks = max(1, math.ceil(vector_rows_bound(questions, text, index.spec.longest_ngram) / block_rows))
     place = F.pmod(F.xxhash64(query_id), F.lit(blocks))
     parts = [
-        top_documents(
-            score_documents(query_vectors(questions.filter(place == block), index, query_id, text), index, query_id),
-            k,
-            query_id,
-            index.doc_id,
-        )
+        top_documents(pruned_scores(questions.filter(place == block), index, k, query_id, text), k, query_id, index.doc_id)
         for block in range(blocks)
     ]
     return union_all(parts)

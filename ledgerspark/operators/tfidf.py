@@ -6,6 +6,7 @@ taken per scope. Without scope all documents form one corpus.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
@@ -15,6 +16,11 @@ from pyspark.sql import functions as F
 from ledgerspark import constants as C
 from ledgerspark.functions.text import ngrams, tokens
 
+# a term of more documents than this is not joined by one task
+HOT_DF = 1_000_000
+# vocabulary rows, some 60 bytes each, that are sent whole to every executor
+BROADCAST_TERMS = 200_000
+
 
 @dataclass(frozen=True)
 class TfidfSpec:
@@ -86,31 +92,52 @@ def normalised(weights: DataFrame, keys: Sequence[str]) -> DataFrame:
     return weights.withColumn("weight", F.try_divide("weight", length))
 
 
+def weighted_counts(counts: DataFrame, vocabulary: DataFrame, spec: TfidfSpec, doc_id: str = "doc_id") -> DataFrame:
+    """(scope…, doc, term, weight) before scaling, by one join on the term."""
+    joined = counts.join(vocabulary, [*spec.scope, "term"])
+    return joined.select(*spec.scope, doc_id, "term", (F.col("tf") * F.col("idf")).alias("weight"))
+
+
+def weighted_without_skew(
+    counts: DataFrame, vocabulary: DataFrame, spec: TfidfSpec, doc_id: str = "doc_id", hot_df: int = HOT_DF
+) -> DataFrame:
+    """``weighted_counts`` where no task joins all rows of a term that very many documents hold.
+
+    A term's rows are its documents, so the vocabulary, which should be a written table, says which
+    terms are hot. There are at most (rows of counts / ``hot_df``) of them: they are broadcast, unless
+    even they are many, in which case they are salted so that a salt has some ``hot_df`` rows at most.
+    """
+    keys = [*spec.scope, "term"]
+    hot = vocabulary.filter(F.col("df") > hot_df)
+    n_hot = hot.count()
+    if not n_hot:
+        return weighted_counts(counts, vocabulary, spec, doc_id)
+    cold = weighted_counts(counts, vocabulary.filter(F.col("df") <= hot_df), spec, doc_id)
+    if n_hot <= BROADCAST_TERMS:
+        return cold.unionByName(weighted_counts(counts, F.broadcast(hot), spec, doc_id))
+    salts = math.ceil(hot.agg(F.max("df")).first()[0] / hot_df)
+    dealt = hot.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = counts.withColumn("_salt", F.pmod(F.xxhash64(doc_id), F.lit(salts)).cast("int"))
+    joined = salted.join(dealt, [*keys, "_salt"])
+    return cold.unionByName(joined.select(*spec.scope, doc_id, "term", (F.col("tf") * F.col("idf")).alias("weight")))
+
+
 @dataclass(frozen=True)
 class TfidfIndex:
-    """A fitted corpus: term counts, hashed by document, and the vocabulary."""
+    """A fitted corpus: term counts, hashed by document, and the vocabulary.
+
+    Nothing is computed until it is read. ``operators.index.store_index`` writes it for many readers.
+    """
 
     vocabulary: DataFrame
     counts: DataFrame
     spec: TfidfSpec
     doc_id: str
 
-    def _weighted(self) -> DataFrame:
-        joined = self.counts.join(self.vocabulary, [*self.spec.scope, "term"])
-        return joined.select(
-            *self.spec.scope, self.doc_id, "term", (F.col("tf") * F.col("idf")).alias("weight")
-        )
-
     @property
     def weights(self) -> DataFrame:
         """(scope…, doc, term, weight), every document of length one."""
-        return normalised(self._weighted(), [self.doc_id])
-
-    @property
-    def lengths(self) -> DataFrame:
-        """(doc, length) before scaling. Only numbers are shuffled to the documents."""
-        weight = F.col("weight")
-        return self._weighted().groupBy(self.doc_id).agg(F.sqrt(F.sum(weight * weight)).alias("length"))
+        return normalised(weighted_counts(self.counts, self.vocabulary, self.spec, self.doc_id), [self.doc_id])
 
 
 def fit_tfidf(

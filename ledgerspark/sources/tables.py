@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerspark.session import checkpoint_dir
+
 MDA_CHUNK = "chunk_id INT, section STRING, text STRING"
 RISK_CHUNK = (
     "chunk_id INT, topic_id INT, topic_label STRING, display_topic_label STRING, topic_score DOUBLE, "
@@ -66,3 +70,18 @@ def publish_view(df: DataFrame, name: str) -> DataFrame:
     """Register a session view for SQL users."""
     df.createOrReplaceTempView(name)
     return df.sparkSession.table(name)
+
+
+def scratch_folder(spark: SparkSession, prefix: str = "tables") -> str:
+    """A new folder where all executors can write; it goes when the application ends."""
+    path = f"{checkpoint_dir(spark)}/{prefix}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
+
+
+def scratch_table(df: DataFrame) -> DataFrame:
+    """Write rows that several steps read, and read them again; the planner then knows their size."""
+    path = scratch_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerspark import constants as C
 from ledgerspark.functions import text as X
 from ledgerspark.operators import chunking, generated_text, retrieval, sections, tfidf
+from ledgerspark.operators.index import StoredIndex, open_index, store_index
 from queries import views as V
 
 
@@ -50,13 +51,24 @@ def chunks_overlap(spark, sf):
     return chunking.chunk_text(docs)
 
 
-def _index(spark, sf, **options) -> tfidf.TfidfIndex:
+def _fit(spark, sf, **options) -> tfidf.TfidfIndex:
     docs = V.table(spark, sf, "documents").select("doc_id", "text")
     return tfidf.fit_tfidf(docs, tfidf.TfidfSpec(**options))
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def _index(spark, sf) -> StoredIndex:
+    """The documents' index, fitted and stored once per application and folder."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _STORED:
+        _STORED[key] = store_index(_fit(spark, sf)).path
+    return open_index(spark, _STORED[key])
+
+
 def term_stats(spark, sf):
-    index = _index(spark, sf, min_df=2, max_df=0.95)
+    index = _fit(spark, sf, min_df=2, max_df=0.95)
     return index.vocabulary.withColumn("idf", F.round("idf", 6))
 
 

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -6,6 +7,8 @@ import pytest
 
 from ledgerspark import constants as C
 from ledgerspark.operators import retrieval, tfidf
+from ledgerspark.operators.index import open_index, store_index
+from queries import text as text_queries
 from pyspark.sql import functions as F
 
 DOCS = [
@@ -85,12 +88,97 @@ def test_scopes_are_separate_corpora(docs, queries):
     assert found == {q: h for q, h in expected.items() if h}
 
 
-def test_pairs_are_not_shuffled(spark, docs, queries):
-    index = tfidf.fit_tfidf(docs.drop("scope"))
-    vectors_df = tfidf.query_vectors(queries.drop("scope"), index)
-    plan = retrieval.score_documents(vectors_df, index, "question_id")._jdf.queryExecution().executedPlan().toString()
-    top = plan.split("BroadcastHashJoin")[0]
-    assert "HashAggregate" in top and "Exchange" not in top
+def random_corpus(seed, n_docs=300, n_queries=40):
+    """Zipf-like words, copies of documents, and words that every document holds."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(120)]
+    odds = [1 / (i + 1) for i in range(120)]
+    text = lambda n: "every " + " ".join(rng.choices(words, odds, k=n))
+    docs = [(i, text(rng.randint(1, 60))) for i in range(n_docs)]
+    docs += [(n_docs + i, docs[0][1]) for i in range(30)] + [(999, "w0"), (1000, "the of")]
+    queries = [(i, text(rng.randint(0, 12))) for i in range(n_queries)] + [(777, docs[0][1]), (778, "w119 w118"), (779, "nothing known")]
+    return docs, queries
+
+
+@pytest.fixture(scope="module")
+def random_index(spark):
+    docs, _ = random_corpus(1)
+    return store_index(tfidf.fit_tfidf(spark.createDataFrame(docs, "doc_id int, text string")), buckets=4)
+
+
+@pytest.mark.parametrize("k", [1, 3, 40])
+def test_pruned_hits_match_brute_force(spark, random_index, k):
+    docs, queries = random_corpus(1)
+    found = hit_map(retrieval.retrieve(spark.createDataFrame(queries, "question_id int, text string"), random_index, k))
+    expected = brute_force(docs, queries, k)
+    assert found == {q: h for q, h in expected.items() if h}
+
+
+def test_common_terms_are_left_aside(spark, random_index):
+    """Fewer than half of the pairs that share a term are scored, in a corpus of few and common words."""
+    docs, queries = random_corpus(1)
+    asked = spark.createDataFrame(queries, "question_id int, text string")
+    vectors = tfidf.query_vectors(asked, random_index).withColumnRenamed("weight", "query_weight").drop("idf")
+    sharing = random_index.forward.join(vectors, "term").select("doc_id", "question_id").distinct().count()
+    kept = retrieval.pruned_scores(asked, random_index, 3, "question_id", "text").count()
+    assert sharing > 10_000 and kept < sharing / 2
+
+
+def joined_by_exchange(df):
+    """Exchanges of the executed plan that aren't broadcasts, below its last aggregation."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+
+
+def test_stored_corpus_is_not_exchanged(spark, random_index):
+    rows = [(1, "every", 0.5, True, 0.0, 0.0), (1, "w3", 0.5, False, 0.0, 0.0)]
+    terms = spark.createDataFrame(rows, "question_id int, term string, query_weight double, essential boolean, rest double, floor double")
+    found = retrieval.candidates(terms, random_index)
+    assert joined_by_exchange(found) == []
+    assert joined_by_exchange(retrieval.scores_of_pairs(found, terms, random_index)) == []
+    # pairs that come from elsewhere are dealt to the corpus' buckets, not the corpus to them
+    pairs = spark.createDataFrame([(5, 1)], "doc_id int, question_id int")
+    plan = retrieval.scores_of_pairs(pairs.hint("merge"), terms, random_index)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(doc_id") == 1 and "Bucketed: true" in plan
+
+
+def test_index_is_shared_and_opened_again(spark, docs, queries, tmp_path):
+    stored = store_index(tfidf.fit_tfidf(docs.drop("scope")), str(tmp_path / "index"), buckets=3)
+    names = [t.name for t in spark.catalog.listTables() if t.name.startswith("tfidf_") and not t.isTemporary]
+    first = hit_map(retrieval.retrieve(queries.drop("scope"), stored))
+    for name in names:  # as in another session; the files stay
+        if spark.sql(f"DESCRIBE FORMATTED {name}").filter(f"data_type LIKE '%{tmp_path.name}%'").count():
+            spark.sql(f"DROP TABLE {name}")
+    again = open_index(spark, str(tmp_path / "index"))
+    assert hit_map(retrieval.retrieve(queries.drop("scope"), again)) == first
+    assert vars(again.spec) | {"stop_words": ()} == vars(stored.spec) | {"stop_words": ()}
+    assert "SelectedBucketsCount: 3 out of 3" in again.forward.groupBy("doc_id").count()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_two_queries_share_one_fit(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(text_queries, "store_index", lambda index: calls.append(1) or store_index(index))
+    monkeypatch.setattr(text_queries, "_STORED", {})
+    text_queries.tfidf_vectors(spark, "/root/testdata/sf0.001")
+    text_queries.retrieve_topk(spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
+
+
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_a_term_of_every_document_is_not_one_task(spark, monkeypatch, broadcast):
+    """Terms of over five documents are broadcast or salted; weights stay the same."""
+    monkeypatch.setattr(tfidf, "BROADCAST_TERMS", broadcast)
+    texts, _ = random_corpus(2)
+    index = tfidf.fit_tfidf(spark.createDataFrame(texts, "doc_id int, text string"))
+    counts, vocabulary = index.counts.cache(), index.vocabulary.cache()
+    split = tfidf.weighted_without_skew(counts, vocabulary, index.spec, hot_df=5)
+    rounded = lambda df: sorted((r.doc_id, r.term, round(r.weight, 9)) for r in df.collect())
+    assert rounded(split) == rounded(tfidf.weighted_counts(counts, vocabulary, index.spec))
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    assert ("_salt" in plan) == (broadcast == 0)
+    if not broadcast:
+        rows = counts.filter("term = 'every'").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(67))).groupBy("salt").count()
+        assert rows.count() > 40 and rows.agg(F.max("count")).first()[0] < 20
 
 
 def test_bound_covers_all_terms(queries):
