@@ -1,25 +1,31 @@
 """Non-negative matrix factorisation of a long TF-IDF table.
 
 Both factors stay distributed: one row of k numbers per document and per term. Only k×k products
-of a factor with itself reach the driver. Each sweep updates every factor once by exact coordinate
-descent, which needs just ``X·Hᵀ`` with ``H·Hᵀ``, and ``Xᵀ·W`` with ``Wᵀ·W``.
+of a factor with itself reach the driver. Each sweep updates every factor by exact coordinate descent,
+which needs just ``X·Hᵀ`` with ``H·Hᵀ``, and ``Xᵀ·W`` with ``Wᵀ·W``.
 """
 
 from __future__ import annotations
 
+import json
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerspark.session import checkpoint_dir
+from ledgerspark.sources.tables import read_note, remove_folder, scratch_folder, write_note
 
 # A term factor up to this size is sent whole to the executors; a larger one is joined by shuffle.
 BROADCAST_BYTES = 256 * 1024 * 1024
 # Rows of one term are spread over this many tasks when the term factor is joined by shuffle.
 DOCS_PER_SALT = 1_000_000
+# Steps of coordinate descent per reading of the weights.
+PASSES = 8
 # Extra columns carried while the leading vectors are sought.
 OVERSAMPLING = 6
 
@@ -32,6 +38,7 @@ class NmfModel:
     components: DataFrame
     losses: list[float]
     sweeps: int
+    converged: bool
 
 
 def _names(k: int) -> list[str]:
@@ -174,22 +181,65 @@ def _start_factors(x: _Matrix, k: int, fill: float, seed: int, power: int):
     return non_negative(docs, x.doc, doc_norms), non_negative(terms, "term", term_norms)
 
 
-def _updated(products: DataFrame, factor: DataFrame, key: str, gram: np.ndarray, k: int) -> DataFrame:
-    """One coordinate-descent pass over the k columns of every row.
+def _updated(products: DataFrame, factor: DataFrame, key: str, gram: np.ndarray, k: int, passes: int = 1) -> DataFrame:
+    """Coordinate descent over the k columns of every row, ``passes`` times with the same products.
 
+    Rows don't depend on each other, so further passes cost no reading of the weights.
     ``violation`` measures how far a row was from optimal, ``fit`` is its share of ``<X, W·H>``.
     """
     columns = _names(k)
     sums = products.selectExpr(f"`{key}`", *[f"c{j} AS p{j}" for j in range(k)])
-    rows = factor.join(sums, key).withColumn("violation", F.lit(0.0))
-    for j in range(k):
-        slope = f"({_dot(gram[:, j], columns)} - p{j})"
-        step = {"violation": F.expr(f"violation + abs(if(c{j} = 0D, least({slope}, 0D), {slope}))")}
-        if gram[j, j] > 0:
-            step[f"c{j}"] = F.expr(f"greatest(c{j} - {slope} / {_number(gram[j, j])}, 0D)")
-        rows = rows.withColumns(step)
-    fit = " + ".join(f"c{j} * p{j}" for j in range(k))
-    return rows.selectExpr(f"`{key}`", *columns, "violation", f"{fit} AS fit")
+    rows = factor.join(sums, key)
+    kind = factor.schema[key].dataType.simpleString()
+
+    def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c, p = (np.stack([batch[f"{x}{j}"].to_numpy(zero_copy_only=False) for j in range(k)]) for x in "cp")
+            c, violation = c.copy(), np.zeros(batch.num_rows)
+            for step in range(passes):
+                for j in range(k):
+                    slope = gram[:, j] @ c - p[j]
+                    if step == 0:
+                        violation += np.abs(np.where(c[j] == 0, np.minimum(slope, 0), slope))
+                    if gram[j, j] > 0:
+                        c[j] = np.maximum(c[j] - slope / gram[j, j], 0)
+            arrays = [batch[key], *map(pa.array, c), pa.array(violation), pa.array((c * p).sum(axis=0))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[key, *columns, "violation", "fit"])
+
+    numbers = ", ".join(f"{c} double" for c in (*columns, "violation", "fit"))
+    return rows.mapInArrow(descend, f"`{key}` {kind}, {numbers}")
+
+
+class _Sweeps:
+    """Factors and figures of the last finished sweep, kept in a folder that all executors share.
+
+    Each sweep writes a folder of its own and then the note that names it; only then does the folder of
+    the sweep before go. A fit that ended early goes on from the note.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, about: dict):
+        self.spark, self.folder, self.about = spark, folder, about
+
+    def last(self) -> dict | None:
+        text = read_note(self.spark, f"{self.folder}/state.json")
+        state = json.loads(text) if text else None
+        if state and state["about"] != self.about:
+            raise ValueError(f"{self.folder} holds the fit of other weights or options: {state['about']}")
+        return state
+
+    def keep(self, sweep: int, name: str, factor: DataFrame) -> DataFrame:
+        path = f"{self.folder}/sweep-{sweep}/{name}"
+        factor.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(factor.schema).parquet(path)
+
+    def kept(self, sweep: int, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/sweep-{sweep}/{name}")
+
+    def finish(self, sweep: int, losses: list[float], first_violation: float | None, done: bool) -> None:
+        state = {"about": self.about, "sweep": sweep, "losses": losses, "first_violation": first_violation, "done": done}
+        write_note(self.spark, f"{self.folder}/state.json", json.dumps(state))
+        if sweep:
+            remove_folder(self.spark, f"{self.folder}/sweep-{sweep - 1}")
 
 
 def fit_nmf(
@@ -201,41 +251,56 @@ def fit_nmf(
     tolerance: float = 1e-4,
     seed: int = 42,
     power: int = 4,
+    passes: int = PASSES,
+    folder: str | None = None,
 ) -> NmfModel:
     """Factorise (doc, term, weight) into k components.
 
-    Stops when the optimality violation has fallen to ``tolerance`` of its first value. Factors are
-    checkpointed every sweep: plans stay short and a lost executor costs one sweep.
+    Stops when the optimality violation has fallen to ``tolerance`` of its first value. Each sweep reads
+    the weights twice and takes ``passes`` steps of coordinate descent with what it read, so the loss falls
+    faster per reading. Factors are written every sweep: plans stay short and a lost executor costs
+    one sweep. With a ``folder``, a fit of the same weights that ended early is taken up where it was;
+    by default they go to a scratch folder of the application.
     """
-    checkpoint_dir(weights.sparkSession)
+    spark = weights.sparkSession
+    checkpoint_dir(spark)
     x = _Matrix(weights, doc_id, k + OVERSAMPLING)
-    if x.n_terms == 0:
-        raise ValueError("no term is left to factorise")
-    total, squares = x.by_doc.agg(F.sum("weight"), F.sum(F.col("weight") * F.col("weight"))).first()
-    docs, terms = _start_factors(x, k, float(total / (n_docs * x.n_terms)), seed, power)
-    docs, terms = docs.checkpoint(), terms.checkpoint()
-    columns = _names(k)
-    term_gram = _gram(terms, k)[0]
-    losses: list[float] = []
-    first_violation = None
-    sweeps = 0
-    for sweeps in range(1, max_sweeps + 1):
-        docs = _updated(x.with_terms(terms, k), docs.select(doc_id, *columns), doc_id, term_gram, k).checkpoint()
-        doc_gram, (doc_violation,) = _gram(docs, k, "sum(violation)")
-        terms = _updated(
-            x.with_docs(docs.select(doc_id, *columns), k), terms.select("term", *columns), "term", doc_gram, k
-        ).checkpoint()
-        term_gram, (term_violation, fit) = _gram(terms, k, "sum(violation)", "sum(fit)")
-        terms = terms.select("term", *columns)
-        losses.append(float(squares - 2 * fit + (doc_gram * term_gram).sum()))
-        violation = doc_violation + term_violation
-        first_violation = violation if first_violation is None else first_violation
-        if first_violation == 0 or violation <= tolerance * first_violation:
-            break
-    x.release()
+    try:
+        if x.n_terms == 0:
+            raise ValueError("no term is left to factorise")
+        total, squares = x.by_doc.agg(F.sum("weight"), F.sum(F.col("weight") * F.col("weight"))).first()
+        about = {"k": k, "doc_id": doc_id, "n_docs": n_docs, "n_terms": x.n_terms, "weight": f"{total:.6g}", "seed": seed, "power": power}
+        saved = _Sweeps(spark, folder or scratch_folder(spark, "nmf"), about)
+        state = saved.last()
+        if state is None:
+            docs, terms = _start_factors(x, k, float(total / (n_docs * x.n_terms)), seed, power)
+            docs, terms = saved.keep(0, "docs", docs), saved.keep(0, "terms", terms)
+            state = {"sweep": 0, "losses": [], "first_violation": None, "done": False}
+            saved.finish(0, [], None, False)
+        else:
+            docs, terms = saved.kept(state["sweep"], "docs"), saved.kept(state["sweep"], "terms")
+        losses, first_violation, sweeps = state["losses"], state["first_violation"], state["sweep"]
+        columns = _names(k)
+        term_gram = _gram(terms, k)[0]
+        while not state["done"] and sweeps < max_sweeps:
+            sweeps += 1
+            updated = _updated(x.with_terms(terms.select("term", *columns), k), docs.select(doc_id, *columns), doc_id, term_gram, k, passes)
+            docs = saved.keep(sweeps, "docs", updated)
+            doc_gram, (doc_violation,) = _gram(docs, k, "sum(violation)")
+            updated = _updated(x.with_docs(docs.select(doc_id, *columns), k), terms.select("term", *columns), "term", doc_gram, k, passes)
+            terms = saved.keep(sweeps, "terms", updated)
+            term_gram, (term_violation, fit) = _gram(terms, k, "sum(violation)", "sum(fit)")
+            losses.append(float(squares - 2 * fit + (doc_gram * term_gram).sum()))
+            violation = doc_violation + term_violation
+            first_violation = violation if first_violation is None else first_violation
+            state["done"] = bool(first_violation == 0 or violation <= tolerance * first_violation)
+            saved.finish(sweeps, losses, first_violation, state["done"])
+    finally:
+        x.release()
     return NmfModel(
         docs.select(doc_id, F.array(*columns).alias("weights")),
         terms.select("term", F.array(*columns).alias("weights")),
         losses,
         sweeps,
+        state["done"],
     )

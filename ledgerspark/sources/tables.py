@@ -72,11 +72,51 @@ def publish_view(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.table(name)
 
 
+def _file_system(spark: SparkSession, path: str):
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return file, file.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def write_note(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file in one step: readers see the old text or the new one.
+
+    The note is finished beside its place and then renamed over it.
+    """
+    file, files = _file_system(spark, path)
+    beside = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    stream = files.create(beside, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(file.toUri(), spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(files.makeQualified(beside), files.makeQualified(file), options)
+
+
+def read_note(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file, None if there is none."""
+    file, files = _file_system(spark, path)
+    if not files.exists(file):
+        return None
+    stream = files.open(file)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    file, files = _file_system(spark, path)
+    files.delete(file, True)
+
+
 def scratch_folder(spark: SparkSession, prefix: str = "tables") -> str:
     """A new folder where all executors can write; it goes when the application ends."""
     path = f"{checkpoint_dir(spark)}/{prefix}-{uuid.uuid4().hex}"
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    folder, files = _file_system(spark, path)
+    files.deleteOnExit(folder)
     return path
 
 

@@ -6,12 +6,15 @@ are frequent words of each, components are term counts per language.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerspark import constants as C
 from ledgerspark.functions import text as X
-from ledgerspark.operators import tfidf, topics
+from ledgerspark.operators import topics
+from ledgerspark.operators.nmf import NmfModel
 from ledgerspark.plans.filing_text import topic_model
 from ledgerspark.sources.tables import with_display_fallbacks
 from queries import views as V
@@ -103,11 +106,41 @@ def topic_representative(spark, sf):
     return topics.representative_chunks(_weighted(spark, sf), "doc_id")
 
 
+_MODELS: dict[tuple[str, str], NmfModel] = {}
+
+
+def _model(spark, sf):
+    """The topic model of the whole corpus with the operator's defaults, fitted once per application."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _MODELS:
+        _MODELS[key] = topic_model(_documents(spark, sf).select("doc_id", "text"), doc_id="doc_id")
+    return _MODELS[key]
+
+
 def topic_model_shape(spark, sf):
-    """Factorise the whole corpus and report each component's size and heaviest term."""
-    docs = _documents(spark, sf).select("doc_id", "text")
-    spec = tfidf.TfidfSpec(min_df=2, max_df=0.95, longest_ngram=1)
-    model = topic_model(docs, k=len(LANGUAGES), spec=spec, doc_id="doc_id", max_sweeps=5, power=1)
+    """What holds of every whole fit: sizes of the factors, signs, falling losses, an optimum reached."""
+    model = _model(spark, sf)
+    lowest = F.array_min("weights")
+    widths = lambda rows: rows.agg(F.min(F.size("weights")), F.max(F.size("weights")), F.count_if(lowest < 0), F.count("*")).first()
+    chunks, terms = widths(model.chunks), widths(model.components)
+    rising = sum(after > before + 1e-9 * before for before, after in zip(model.losses, model.losses[1:]))
+    rows = [
+        ("chunks with terms", chunks[3]),
+        ("terms", terms[3]),
+        ("smallest number of components", min(chunks[0], terms[0])),
+        ("largest number of components", max(chunks[1], terms[1])),
+        ("rows with a negative weight", chunks[2] + terms[2]),
+        ("sweeps with a higher loss", rising),
+        ("fits that reached their tolerance", int(model.converged)),
+        # unit vectors: nothing explained would leave one per chunk
+        ("share of the chunks' squares explained, rounded up", math.ceil(1 - model.losses[-1] / chunks[3])),
+    ]
+    return spark.createDataFrame(rows, "invariant string, value bigint")
+
+
+def topic_model_components(spark, sf):
+    """Each component's heaviest term and the number of chunks it is strongest in."""
+    model = _model(spark, sf)
     heads = topics.top_terms(model.components, 1).select("component", F.col("term").alias("head"))
     chunks = model.chunks.select(topics.strongest(F.col("weights"))["index"].alias("component"))
     sizes = chunks.groupBy("component").agg(F.count("*").alias("chunks"))
@@ -129,6 +162,7 @@ QUERIES = {
         theme_chunks,
         topic_representative,
         topic_model_shape,
+        topic_model_components,
     )
 }
 
@@ -217,6 +251,17 @@ ORACLES = {
     "theme_chunks": V.ctes(*_CLASSIFIED)
     + f"""SELECT doc_id, topic_score, md5(text) AS digest FROM classified JOIN documents USING (doc_id)
       WHERE topic_label = '{LABELS[2]}'""",
+    "topic_model_shape": V.ctes(
+        V.words_sql("words", "documents", "doc_id"),
+        V.counts_sql("tf", "words", "doc_id"),
+        """kept AS (SELECT term FROM tf GROUP BY term
+          HAVING count(*) >= 2 AND count(*) <= (SELECT count(*) FROM documents) * 0.95::DOUBLE)""",
+    )
+    + f"""SELECT 'chunks with terms' AS invariant, count(DISTINCT doc_id) AS value FROM tf JOIN kept USING (term)
+      UNION ALL SELECT 'terms', count(*) FROM kept
+      UNION ALL VALUES ('smallest number of components', {len(C.TOPIC_LABELS)}), ('largest number of components', {len(C.TOPIC_LABELS)}),
+        ('rows with a negative weight', 0), ('sweeps with a higher loss', 0), ('fits that reached their tolerance', 1),
+        ('share of the chunks'' squares explained, rounded up', 1)""",
     "topic_representative": V.ctes(*_CLASSIFIED)
     + """SELECT CAST(component AS INTEGER) AS component, doc_id, score, substr(text, 1, 500) AS preview FROM (
       SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY component ORDER BY score DESC, doc_id) = 1)

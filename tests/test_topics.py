@@ -79,7 +79,7 @@ def test_sweeps_equal_dense_updates(spark, monkeypatch, limit):
         return docs, terms
 
     monkeypatch.setattr(nmf, "_start_factors", remember)
-    model = nmf.fit_nmf(weights, 9, k=3, max_sweeps=4, tolerance=0.0)
+    model = nmf.fit_nmf(weights, 9, k=3, max_sweeps=4, tolerance=0.0, passes=1)
     w = np.array([starts["w"][i] for i in range(9)])
     h = np.array([starts["h"][f"t{j}"] for j in range(7)]).T.copy()
     w, h = reference_updates(x, w, h, 4)
@@ -90,6 +90,48 @@ def test_sweeps_equal_dense_updates(spark, monkeypatch, limit):
     assert model.losses[-1] == pytest.approx(((x - w @ h) ** 2).sum(), abs=1e-8)
 
 
+def factors(model):
+    return {r[0]: r["weights"] for r in model.chunks.collect()}, {r[0]: r["weights"] for r in model.components.collect()}
+
+
+def random_weights(spark, seed):
+    rng = np.random.default_rng(seed)
+    x = rng.random((40, 3)) @ rng.random((3, 30)) + 0.2 * rng.random((40, 30))
+    rows = [(i, f"t{j}", float(x[i, j])) for i in range(40) for j in range(30)]
+    return spark.createDataFrame(rows, "doc_id int, term string, weight double")
+
+
+def test_a_fit_is_taken_up_where_it_ended(spark, tmp_path):
+    """Five sweeps and then the rest give what one run gives; finished sweeps leave one folder."""
+    weights = random_weights(spark, 4)
+    options = {"n_docs": 40, "k": 3, "tolerance": 1e-9, "power": 2, "passes": 2}
+    whole = nmf.fit_nmf(weights, max_sweeps=9, **options)
+    folder = str(tmp_path / "fit")
+    part = nmf.fit_nmf(weights, max_sweeps=5, folder=folder, **options)
+    rest = nmf.fit_nmf(weights, max_sweeps=9, folder=folder, **options)
+    assert (part.sweeps, rest.sweeps) == (5, 9) and rest.losses[:5] == part.losses
+    for a, b in zip(factors(whole), factors(rest)):
+        assert a.keys() == b.keys() and all(np.allclose(a[x], b[x], atol=1e-9) for x in a)
+    assert sorted(f.name for f in (tmp_path / "fit").iterdir() if not f.name.startswith(".")) == ["state.json", "sweep-9"]
+    with pytest.raises(ValueError):
+        nmf.fit_nmf(weights, folder=folder, **{**options, "k": 2})
+
+
+def test_more_passes_fall_faster(spark):
+    """More steps per reading leave a smaller loss after as many sweeps, and the loss never rises."""
+    weights = random_weights(spark, 5)
+    one, eight = (nmf.fit_nmf(weights, 40, k=3, passes=p, tolerance=0.0, max_sweeps=5) for p in (1, 8))
+    assert eight.losses[-1] < one.losses[-1] and not eight.converged
+    assert all(b <= a + 1e-9 for a, b in zip(eight.losses, eight.losses[1:]))
+
+
+def test_weights_are_released_on_an_error(spark, monkeypatch):
+    before = len(spark.sparkContext._jsc.getPersistentRDDs())
+    with pytest.raises(ValueError):
+        nmf.fit_nmf(spark.createDataFrame([], "doc_id int, term string, weight double"), 3)
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == before
+
+
 def test_leading_vectors_match_dense_svd(spark):
     rng = np.random.default_rng(1)
     x = rng.random((8, 6))
