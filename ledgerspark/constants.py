@@ -165,6 +165,29 @@ ANSWER_SPACING_FIXES = {
     "orlimited": "or limited",
 }
 TABLE_HEADER_CELLS = ("fiscal year", "year")
+# white space of every kind: Unicode's and the four ASCII separators
+SPACE = r"(?U:[\s\x1c-\x1f])"
+ANSWER_SPACING_PATTERNS = (
+    (r"(?<=[.!?])(?=[A-Z])", " "),
+    (rf"(?<!{SPACE})(\[(?:F|M)?\d+\])", " $1"),
+    (r"\b(up|down)(?=\d)", "$1 "),
+    (r"(?<=\d)([BM])(?=[A-Za-z])", "$1 "),
+    (r"(?<=%)(?=[A-Za-z])", " "),
+)
+TABLE_RULE = rf"^\|?(?:{SPACE}|[:|\-])+\|?$"
+LINE_MARKS = r"^[# ]+"
+CELL_BORDERS = r"^\|+|\|+$"
+
+# --- Fixed values: lines of figures texts ------------------------------------------------------------
+YEAR_HEADING = r"^FY(20\d{2})$"
+CHANGE_HEADING = "Overall change"
+SOURCE_HEADING = "Source:"
+SINGLE_VALUE = r"(?md)^(.+?) in FY(20\d{2}): (.+)$"
+
+# --- Fixed values: reference lists --------------------------------------------------------------------
+STATEMENTS_TITLE = "Financial Statements"
+MDA_TITLE = "Item 7. Management’s Discussion and Analysis"
+REFERENCES_HEADING = "References:"
 
 # --- Fixed values: risk topics -------------------------------------------------------------------
 TOPIC_LABELS = {

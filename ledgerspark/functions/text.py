@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from ledgerspark import constants as C
 from ledgerspark.functions.binding import bind
 
-# Unicode white space plus the four ASCII separators that text editors also treat as space.
-SPACE = r"(?U:[\s\x1c-\x1f])"
+SPACE = C.SPACE
 SENTENCE_BREAK = rf"(?<=[.!?]){SPACE}+"
 LINE_BREAK = r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85\x{2028}\x{2029}]"
 TOKEN = r"[\p{L}\p{N}_]{2,}"

@@ -302,5 +302,30 @@ def reference_list(
     )
 
 
+def explained_references(
+    answers: DataFrame, hits: DataFrame, metadata: DataFrame, query_id: str = "question_id"
+) -> DataFrame:
+    """Answers that explain figures, with their references: [F1] always, then each [Mn] they cite.
+
+    ``answers`` has (question, filing_id, answer), ``hits`` (question, rank) and ``metadata`` one row per
+    filing. Returns (question, reference_lines, referenced_answer). What isn't known of a filing is
+    left out; an answer without hits lists the statements only.
+    """
+    found = hits.groupBy(query_id).agg(F.max("rank").alias("_hits"))
+    known = answers.join(metadata.select("filing_id", "company", "form", "filing_date", "source_url"), "filing_id", "left")
+    joined = known.join(found, query_id, "left")
+    filing = lambda label: F.concat_ws(" ", label, F.col("company"), F.col("form"))
+    filed = F.concat(F.lit(", filed "), F.col("filing_date"))
+    statements = F.concat(filing(F.lit("[F1]")), F.lit(f" — {C.STATEMENTS_TITLE}"), F.coalesce(filed, F.lit("")))
+    ranks = F.slice(F.sequence(F.lit(0), F.coalesce("_hits", F.lit(0))), 2, F.greatest(F.coalesce("_hits", F.lit(0)), F.lit(0)))
+    labels = F.transform(ranks, lambda n: F.concat(F.lit("[M"), n.cast("string"), F.lit("]")))
+    cited = F.transform(
+        cited_labels(F.col("answer"), labels), lambda label: F.concat(filing(label), F.lit(f" — {C.MDA_TITLE}"))
+    )
+    lines = F.array_join(F.concat(F.array(statements), cited), "\n")
+    text = F.concat_ws("\n", F.concat(F.col("answer"), F.lit(f"\n\n{C.REFERENCES_HEADING}")), "reference_lines", "source_url")
+    return joined.withColumn("reference_lines", lines).select(query_id, "reference_lines", text.alias("referenced_answer"))
+
+
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from ledgerspark.operators.annual import annual_facts, annual_summary
 from ledgerspark.operators.quality import validate
-from ledgerspark.sources.tables import move_folder, read_summary, write_summary
+from ledgerspark.sources.tables import new_version, publish_version, remove_folder, write_summary
 
 
 def build_annual_summary(facts: DataFrame, form: str = "10-K", fp: str = "FY", unit: str = "USD") -> DataFrame:
@@ -14,13 +14,19 @@ def build_annual_summary(facts: DataFrame, form: str = "10-K", fp: str = "FY", u
 
 
 def publish_annual_summary(facts: DataFrame, path: str, strict: bool = True) -> None:
-    """Write beside the published table, check what was written, and put it in place.
+    """Write a new version beside the published one, check what was written, and point readers to it.
 
     Bad figures never reach readers, and the summary is computed once.
     """
-    staging = f"{path.rstrip('/')}.staging"
-    write_summary(build_annual_summary(facts), staging)
     spark = facts.sparkSession
-    if strict:
-        validate(read_summary(spark, staging))
-    move_folder(spark, staging, path)
+    version = new_version(path)
+    try:
+        summary = build_annual_summary(facts)
+        write_summary(summary, version)
+        if strict:
+            # the schema is known, so an empty table is a finding and not a reading error
+            validate(spark.read.schema(summary.schema).parquet(version))
+        publish_version(spark, path, version)
+    except Exception:
+        remove_folder(spark, version)
+        raise

@@ -46,18 +46,39 @@ def write_summary(summary: DataFrame, path: str, tasks_per_year: int = 32) -> No
     spread.write.mode("overwrite").partitionBy("fiscal_year").parquet(path)
 
 
-def move_folder(spark: SparkSession, source: str, target: str) -> None:
-    """Put a finished folder in the place of another one."""
-    paths = spark._jvm.org.apache.hadoop.fs.Path
-    files = paths(source).getFileSystem(spark._jsc.hadoopConfiguration())
-    files.delete(paths(target), True)
-    if not files.rename(paths(source), paths(target)):
-        raise OSError(f"{source} could not be moved to {target}")
+CURRENT = "_current"
+
+
+def new_version(path: str) -> str:
+    """A folder beside the versions of a published table, which no reader looks at yet."""
+    return f"{path.rstrip('/')}/version-{uuid.uuid4().hex}"
+
+
+def publish_version(spark: SparkSession, path: str, version: str, keep: int = 2) -> None:
+    """Make a finished version the one that readers of ``path`` see.
+
+    Only a small note changes, in one step: before it readers find the old version whole, after it the
+    new one, and whatever fails leaves the old one in place. The ``keep`` latest versions stay, for
+    readers that are under way.
+    """
+    root = path.rstrip("/")
+    named = version.rstrip("/").rsplit("/", 1)[-1]
+    before = read_note(spark, f"{root}/{CURRENT}")
+    history = [named, *(v for v in (before or "").split() if v != named)]
+    write_note(spark, f"{root}/{CURRENT}", "\n".join(history[:keep]))
+    for old in history[keep:]:
+        remove_folder(spark, f"{root}/{old}")
+
+
+def published_folder(spark: SparkSession, path: str) -> str:
+    """Where the current version lies; a plain folder is its own version."""
+    history = read_note(spark, f"{path.rstrip('/')}/{CURRENT}")
+    return f"{path.rstrip('/')}/{history.split()[0]}" if history else path
 
 
 def read_summary(spark: SparkSession, path: str) -> DataFrame:
-    """Read a published summary; a missing path is an error."""
-    return spark.read.parquet(path)
+    """Read a published summary, or a plain folder of one; a missing path is an error."""
+    return spark.read.parquet(published_folder(spark, path))
 
 
 def publish_table(df: DataFrame, name: str) -> DataFrame:

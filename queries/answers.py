@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ledgerspark import constants as C
 from ledgerspark.operators import answers, generated_text, questions
-from ledgerspark.operators.tfidf import TfidfSpec, fit_tfidf
 from ledgerspark.plans.question_answering import answer_questions
 from queries import facts as facts_queries
 from queries import text as text_queries
@@ -108,7 +107,7 @@ def answer_texts(spark, sf):
 def routed_answers(spark, sf):
     """All three routes in one table: figures, evidence packs, out-of-scope messages."""
     docs = V.table(spark, sf, "documents").select("doc_id", F.col("source").alias("topic_label"), "text")
-    index = fit_tfidf(docs.select("doc_id", "text"), TfidfSpec())
+    index = text_queries._index(spark, sf)
     return answer_questions(
         V.questions(spark, sf),
         facts_queries.summary(spark, sf),
@@ -305,12 +304,18 @@ _PACKS = (
     f"""sought AS (SELECT question_id, route, CASE WHEN route = 'risk' THEN text ELSE {text_queries._expansion_sql(C.QUERY_EXPANSIONS)} END AS text
       FROM questions JOIN routes USING (question_id) WHERE route = 'risk' OR (route = 'financial' AND explain))""",
     *text_queries._hits_sql("sought"),
+    "ends_of AS (SELECT doc_id FROM documents ORDER BY doc_id DESC LIMIT 6)",
+    """filled AS (SELECT question_id, doc_id, retrieval_score, row_number() OVER (PARTITION BY question_id ORDER BY rank, doc_id DESC) AS rank
+      FROM (SELECT question_id, doc_id, retrieval_score, rank FROM hits
+        UNION ALL SELECT question_id, doc_id, 0.0::DOUBLE, 4 FROM sought, ends_of WHERE NOT EXISTS
+          (SELECT 1 FROM hits h WHERE h.question_id = sought.question_id AND h.doc_id = ends_of.doc_id))
+      QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY rank, doc_id DESC) <= 3)""",
     f"""packs AS (SELECT question_id,
         string_agg(concat('[M', rank, '] Item 7. MD&A, retrieved chunk ', doc_id, {_NL}, d.text), {_NL} || {_NL} ORDER BY rank)
           FILTER (route = 'financial') AS context,
         string_agg(concat('[', rank, '] Topic: ', d.source, {_NL}, 'Chunk ID: ', doc_id, {_NL}, 'SEC excerpt:', {_NL}, d.text),
           {_NL} || {_NL} ORDER BY rank) FILTER (route = 'risk') AS evidence
-      FROM hits JOIN documents d USING (doc_id) JOIN sought USING (question_id)
+      FROM filled JOIN documents d USING (doc_id) JOIN sought USING (question_id)
       GROUP BY question_id HAVING max(retrieval_score) > 0)""",
 )
 

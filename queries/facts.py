@@ -13,6 +13,8 @@ from ledgerspark.sources import company_facts, filings as filing_source
 from queries import views as V
 
 METRICS = list(C.SUMMARY_METRICS)
+CONCEPTS = list(C.CONCEPT_COLUMNS.values())
+UNITS = ["USD", "EUR", "shares"]
 
 
 def _annual(spark: SparkSession, sf: str) -> DataFrame:
@@ -51,9 +53,11 @@ def annual_metric(spark, sf):
     return _text_end(annual.scaled_metric(_annual(spark, sf), concept, "revenue_billions"))
 
 
-def facts_from_json(spark, sf):
-    """Facts written as nested company documents, then read back through the document schema."""
-    facts = _annual(spark, sf)
+def _company_documents(spark, sf) -> DataFrame:
+    """(entity, json): one nested document per company, with its concepts, units and records.
+
+    Every tenth document breaks off, and one concept of every seventh isn't an object.
+    """
     record = F.struct(
         F.col("start").cast("string").alias("start"),
         F.col("end").cast("string").alias("end"),
@@ -63,13 +67,26 @@ def facts_from_json(spark, sf):
         "form",
         F.col("filed").cast("string").alias("filed"),
     )
-    units = F.struct(F.create_map(F.lit("USD"), F.array(record)).alias("units"))
-    document = F.struct(
-        F.col("entity").cast("string").alias("cik"),
-        F.create_map(F.lit("us-gaap"), F.create_map(F.col("concept"), units)).alias("facts"),
-    )
-    documents = facts.select(F.to_json(document).alias("json"))
-    flat = company_facts.flatten_facts(company_facts.parse_company_facts(documents))
+    unit = F.get(F.array(*map(F.lit, UNITS)), (F.col("accn").cast("bigint") % len(UNITS)).cast("int"))
+    records = V.facts(spark, sf).groupBy("entity", "concept", unit.alias("unit")).agg(F.collect_list(record).alias("records"))
+    units = F.map_from_entries(F.collect_list(F.struct("unit", "records")))
+    bodies = records.groupBy("entity", "concept").agg(F.to_json(F.struct(units.alias("units"))).alias("body"))
+    broken_concept = (F.col("entity") % 7 == 2) & (F.col("concept") == CONCEPTS[1])
+    body = F.when(broken_concept, F.lit("7")).otherwise(F.col("body"))
+    member = F.concat(F.lit('"'), "concept", F.lit('":'), body)
+    documents = bodies.groupBy("entity").agg(F.array_join(F.collect_list(member), ",").alias("members"))
+    whole = F.concat(F.lit('{"cik":"'), F.col("entity").cast("string"), F.lit('","facts":{"us-gaap":{'), F.col("members"), F.lit("}}}"))
+    broken = F.col("entity") % 10 == 3
+    return documents.select("entity", F.when(broken, F.expr("left(members, 50)")).otherwise(whole).alias("json"))
+
+
+def _parsed_documents(spark, sf) -> DataFrame:
+    return company_facts.parse_company_facts(_company_documents(spark, sf), document=F.col("entity"))
+
+
+def facts_from_json(spark, sf):
+    """Facts written as nested company documents, then read back through the document schema."""
+    flat = company_facts.flatten_facts(_parsed_documents(spark, sf))
     per_concept = flat.groupBy("entity", "concept", "unit").agg(
         F.count("*").alias("facts"),
         F.max("val").alias("largest"),
@@ -79,6 +96,12 @@ def facts_from_json(spark, sf):
     return per_concept.withColumn("entity", F.col("entity").cast("bigint"))
 
 
+def facts_quarantine(spark, sf):
+    """Documents and concepts that can't be read, none of which ends the job."""
+    found = company_facts.quarantined_documents(_parsed_documents(spark, sf))
+    return found.select(F.col("document").cast("bigint").alias("entity"), "concept", "reason")
+
+
 def latest_n_periods(spark, sf):
     return _text_end(growth.latest_periods(summary(spark, sf), 3)).select("entity", "end", "fiscal_year", *METRICS)
 
@@ -105,6 +128,17 @@ def kpi_snapshot(spark, sf):
     return _text_end(out)
 
 
+def kpi_year(spark, sf):
+    """The cards of one chosen year; growth still sees the year before."""
+    out = growth.kpi_snapshot(growth.latest_periods(summary(spark, sf)), fiscal_year=2023)
+    return _text_end(out)
+
+
+def dq_missing_columns(spark, sf):
+    """A summary that lacks two required columns is reported by name, before anything is counted."""
+    return quality.quality_report(summary(spark, sf).drop("net_income_billions", "operating_margin_pct"))
+
+
 def dq_report(spark, sf):
     return quality.quality_report(summary(spark, sf))
 
@@ -204,11 +238,14 @@ QUERIES = {
         facts_latest_filing,
         annual_metric,
         facts_from_json,
+        facts_quarantine,
         latest_n_periods,
         growth_yoy,
         cagr,
         takeaways,
         kpi_snapshot,
+        kpi_year,
+        dq_missing_columns,
         dq_report,
         dq_report_raw,
         overall_change,
@@ -285,6 +322,12 @@ _CARDS = [
     (4, "Operating Cash Flow", "operating_cash_flow_billions", _NOTE.format("cash_flow_growth_pct")),
 ]
 
+_KPI = V.ctes(*V.SUMMARY_CTES, _FIVE, _GROWN) + " UNION ALL ".join(
+    f"""SELECT entity, fiscal_year, CAST("end" AS VARCHAR) AS "end", {n} AS position, '{label}' AS label,
+        {value} AS value, {_MONEY.format(value)} AS display, {note} AS note FROM grown"""
+    for n, label, value, note in _CARDS
+)
+
 ORACLES = {
     "annual_summary": _SUMMARY,
     "annual_summary_joins": _SUMMARY,
@@ -295,9 +338,13 @@ ORACLES = {
     + f"""SELECT entity, CAST("end" AS VARCHAR) AS "end", val / 1e9 AS revenue_billions FROM latest
       WHERE concept = '{C.CONCEPT_COLUMNS["revenue_billions"]}'""",
     "facts_from_json": V.ctes(V.FACTS_SQL)
-    + f"""SELECT entity, concept, unit, count(*) AS facts, max(val) AS largest,
+    + f"""SELECT entity, concept, ({V.sql_list(UNITS)})[CAST(accn AS BIGINT) % {len(UNITS)} + 1] AS unit, count(*) AS facts, max(val) AS largest,
       CAST(min(filed) AS VARCHAR) AS first_filed, max(accn) AS last_accn FROM facts
-      WHERE form = '{V.ANNUAL_FORM}' AND fp = '{V.ANNUAL_PERIOD}' GROUP BY entity, concept, unit""",
+      WHERE entity % 10 <> 3 AND NOT (entity % 7 = 2 AND concept = '{CONCEPTS[1]}') GROUP BY ALL""",
+    "facts_quarantine": V.ctes(V.FACTS_SQL)
+    + f"""SELECT DISTINCT entity, CAST(NULL AS VARCHAR) AS concept, 'document is malformed' AS reason FROM facts WHERE entity % 10 = 3
+      UNION ALL SELECT DISTINCT entity, concept, 'concept is malformed' FROM facts
+      WHERE entity % 10 <> 3 AND entity % 7 = 2 AND concept = '{CONCEPTS[1]}'""",
     "latest_n_periods": _BASE
     + f"""SELECT entity, CAST("end" AS VARCHAR) AS "end", fiscal_year, {', '.join(METRICS)} FROM summary
       QUALIFY row_number() OVER (PARTITION BY entity ORDER BY summary."end" DESC) <= 3""",
@@ -310,12 +357,12 @@ ORACLES = {
       (SELECT entity, fiscal_year AS latest_year, revenue_growth_pct, operating_margin_change_pp, cash_flow_growth_pct
        FROM grown QUALIFY row_number() OVER (PARTITION BY entity ORDER BY "end" DESC) = 1) g
       JOIN (SELECT entity, {_CAGR} AS revenue_cagr_pct FROM five GROUP BY entity) c USING (entity)""",
-    "kpi_snapshot": V.ctes(*V.SUMMARY_CTES, _FIVE, _GROWN)
-    + " UNION ALL ".join(
-        f"""SELECT entity, fiscal_year, CAST("end" AS VARCHAR) AS "end", {n} AS position, '{label}' AS label,
-        {value} AS value, {_MONEY.format(value)} AS display, {note} AS note FROM grown"""
-        for n, label, value, note in _CARDS
-    ),
+    "kpi_snapshot": _KPI,
+    "kpi_year": f"SELECT * FROM ({_KPI}) WHERE fiscal_year = 2023",
+    "dq_missing_columns": """SELECT 0 AS position, 'Missing columns: ' || string_agg(name, ', ' ORDER BY place) AS "check",
+      count(*) AS failed_rows, count(*) = 0 AS passed FROM (SELECT unnest(names) AS name, generate_subscripts(names, 1) AS place FROM (SELECT """
+    + V.sql_list(quality.REQUIRED_COLUMNS)
+    + " AS names)) WHERE name IN ('net_income_billions', 'operating_margin_pct')",
     "dq_report": _BASE + _quality_sql("summary"),
     "dq_report_raw": V.ctes(V.FACTS_SQL, _RAW) + _quality_sql("raw"),
     "overall_change": V.ctes(*V.SUMMARY_CTES, _FIVE, V.LONG_SQL.replace("FROM summary", "FROM five"))

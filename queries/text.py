@@ -16,6 +16,10 @@ def html_text(spark, sf):
     return sections.filing_text(V.table(spark, sf, "pages").select("page_id", "html"))
 
 
+def html_text_awkward(spark, sf):
+    return sections.filing_text(V.awkward_pages(spark, sf))
+
+
 def _sections(spark, sf) -> DataFrame:
     return sections.extract_sections(sections.filing_text(V.filings(spark, sf)))
 
@@ -180,6 +184,26 @@ def citations_used(spark, sf):
     return _answers(spark, sf).select("conv_id", "turn", F.array_join(retrieval.cited_labels(raw, labels), " ").alias("cited"))
 
 
+def _known_regions(spark, sf) -> DataFrame:
+    """Filings by region; one in five isn't known."""
+    return V.table(spark, sf, "region").filter("r_regionkey <> 4").select(
+        F.col("r_regionkey").cast("bigint").alias("filing_id"),
+        F.col("r_name").alias("company"),
+        F.lit("10-K").alias("form"),
+        F.lit("2025-10-31").alias("filing_date"),
+        F.concat(F.lit("https://example.org/"), F.col("r_regionkey").cast("string")).alias("source_url"),
+    )
+
+
+def explained_references(spark, sf):
+    """References of figures explained with the second and, for some, the first and an unknown block."""
+    items = V.table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), "text")
+    cites = F.when(F.col("question_id") % 3 == 0, F.lit(" [M2] [F1]")).otherwise(F.lit(" [M1] [M2][M7]"))
+    answers = items.select("question_id", (F.col("question_id") % 5).alias("filing_id"), F.concat("text", cites).alias("answer"))
+    found = retrieval.explained_references(answers, retrieval.retrieve(items, _index(spark, sf)), _known_regions(spark, sf))
+    return found.select("question_id", "reference_lines", F.md5("referenced_answer").alias("digest"))
+
+
 def reference_lines(spark, sf):
     """References of answers built from benchmark texts that cite the first and third hit."""
     docs = V.table(spark, sf, "documents").select("doc_id", F.col("source").alias("source_title"), "text")
@@ -190,21 +214,14 @@ def reference_lines(spark, sf):
         (F.col("question_id") % 5).alias("filing_id"),
         F.concat("text", F.when(F.col("question_id") % 3 == 0, F.lit(" [1]")).otherwise(F.lit(" [3] [1]"))).alias("answer"),
     )
-    # one filing in five is unknown
-    metadata = V.table(spark, sf, "region").filter("r_regionkey <> 4").select(
-        F.col("r_regionkey").cast("bigint").alias("filing_id"),
-        F.col("r_name").alias("company"),
-        F.lit("10-K").alias("form"),
-        F.lit("2025-10-31").alias("filing_date"),
-        F.concat(F.lit("https://example.org/"), F.col("r_regionkey").cast("string")).alias("source_url"),
-    )
-    return retrieval.reference_list(answers, hits, metadata)
+    return retrieval.reference_list(answers, hits, _known_regions(spark, sf))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         html_text,
+        html_text_awkward,
         section_extract,
         section_quarantine,
         sentences,
@@ -226,6 +243,7 @@ QUERIES = {
         clean_text,
         citations_used,
         reference_lines,
+        explained_references,
     )
 }
 
@@ -369,6 +387,7 @@ _CLEAN = V.ctes(
 
 ORACLES = {
     "html_text": V.text_sql("pages"),
+    "html_text_awkward": V.AWKWARD_SQL,
     "section_extract": _SECTIONS
     + "SELECT page_id, section, CAST(length(text) AS INTEGER) AS n_chars, md5(text) AS digest FROM cut WHERE reason IS NULL",
     "section_quarantine": _SECTIONS + "SELECT page_id, section, reason FROM cut WHERE reason IS NOT NULL",
@@ -423,4 +442,14 @@ ORACLES = {
       SELECT question_id, coalesce(lines, '') AS reference_lines,
         r_name || ' 10-K, filed 2025-10-31' || chr(10) || 'https://example.org/' || r_regionkey AS filing_source
       FROM items LEFT JOIN known ON r_regionkey = question_id % 5 LEFT JOIN cited USING (question_id)""",
+    "explained_references": V.ctes(_ITEMS, *_hits_sql("items"))
+    + f""", known AS (SELECT * FROM region WHERE r_regionkey <> 4),
+      ranks AS (SELECT question_id, max(rank) AS n FROM hits GROUP BY question_id),
+      lined AS (SELECT question_id, r_regionkey, text || CASE WHEN question_id % 3 = 0 THEN ' [M2] [F1]' ELSE ' [M1] [M2][M7]' END AS answer,
+        concat(concat_ws(' ', '[F1]', r_name || ' 10-K'), ' — {C.STATEMENTS_TITLE}', CASE WHEN r_name IS NULL THEN '' ELSE ', filed 2025-10-31' END,
+          CASE WHEN question_id % 3 <> 0 AND n >= 1 THEN concat(chr(10), concat_ws(' ', '[M1]', r_name || ' 10-K'), ' — {C.MDA_TITLE}') ELSE '' END,
+          CASE WHEN n >= 2 THEN concat(chr(10), concat_ws(' ', '[M2]', r_name || ' 10-K'), ' — {C.MDA_TITLE}') ELSE '' END) AS reference_lines
+        FROM items LEFT JOIN known ON r_regionkey = question_id % 5 LEFT JOIN ranks USING (question_id))
+      SELECT question_id, reference_lines, md5(concat_ws(chr(10), answer || chr(10) || chr(10) || '{C.REFERENCES_HEADING}', reference_lines,
+        'https://example.org/' || r_regionkey)) AS digest FROM lined""",
 }

@@ -191,7 +191,9 @@ def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_sql(source: str, html: str = "html") -> str:
     """Markup to cleaned text in SQL, for the entities that occur here."""
-    out = f"""regexp_replace({html}, '(?is)<!--.*?-->|<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>|<template\\b[^>]*>.*?</template\\s*>|<[/!?a-z][^>]*>', ' ', 'g')"""
+    in_tag = """(?:[^>"'']|"[^"]*"|''[^'']*'')*"""
+    raw = "|".join(rf"<{name}\b{in_tag}>.*?(?:</{name}\b[^>]*>|\z)" for name in ("script", "style", "template"))
+    out = rf"regexp_replace({html}, '(?is)<!--.*?(?:-->|\z)|{raw}|<[/!?a-z]{in_tag}>|<[/!?a-z][^>]*>', ' ', 'g')"
     for entity, char in (
         ("&nbsp;", "chr(160)"),
         ("&#160;", "chr(160)"),
@@ -200,6 +202,10 @@ def text_sql(source: str, html: str = "html") -> str:
         ("&middot;", "chr(183)"),
         ("&copy;", "chr(169)"),
         ("&quot;", "'\"'"),
+        ("&rarr;", "chr(8594)"),
+        ("&CounterClockwiseContourIntegral;", "chr(8755)"),
+        ("&notit;", "concat(chr(172), 'it;')"),
+        ("&copy 2", "concat(chr(169), ' 2')"),
         ("&amp;", "'&'"),
     ):
         out = f"replace({out}, '{entity}', {char})"
@@ -209,6 +215,18 @@ def text_sql(source: str, html: str = "html") -> str:
     return f"SELECT page_id, trim({out}) AS text FROM {source}"
 
 
+# quoted attributes with >, rare and bare references, a script that never ends
+_AWKWARD = """concat('<p title="a > b" class=x>Start &rarr; &CounterClockwiseContourIntegral; &notit; &copy 2024 &unknown;</p><!-- <p> -->',
+  html, '<a href="?a=1>2" >end</a><script>if (a < b) { write("<p>x</p>") } ', html)"""
+
+
+def awkward_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.expr(_AWKWARD).alias("html"))
+
+
+AWKWARD_SQL = text_sql(f"(SELECT page_id, {_AWKWARD} AS html FROM pages)")
+
+
 FILINGS_SQL = f"filings AS (SELECT page_id, {_FILING} AS html FROM pages)"
 
 # --- shared text pieces ---------------------------------------------------------------------------

@@ -187,6 +187,55 @@ def test_company_documents_to_published_table(spark, tmp_path):
         tables.read_summary(spark, str(tmp_path / "absent"))
 
 
+def test_malformed_documents_are_set_aside(spark, tmp_path):
+    """A broken file and a broken concept are reported; the rest is read, dealt out by concept or not."""
+    record = {"start": "2023-10-01", "end": "2024-09-28", "val": 5e9, "accn": "x", "fy": 2024, "fp": "FY", "form": "10-K", "filed": "2024-11-01"}
+    units = {u: [{**record, "val": v} for v in (1, 2.5, 3e9)] for u in ("USD", "EUR", "shares")}
+    concepts = {f"C{i}": {"label": "l", "units": units} for i in range(50)} | {"Broken": {"units": "none"}, "Number": 7}
+    (tmp_path / "good.json").write_text(json.dumps({"cik": 1, "facts": {"us-gaap": concepts}}))
+    (tmp_path / "cut.json").write_text('{"cik": 2, "facts": {"us-gaap": {"C0": {"uni')
+    (tmp_path / "empty.json").write_text("{}")
+    read = company_facts.read_company_facts(spark, str(tmp_path))
+    for partitions in (None, 5):
+        facts = company_facts.flatten_facts(read, partitions=partitions)
+        assert facts.count() == 50 * 3 * 3 and facts.agg(F.sum("val")).first()[0] == 150 * (3.5 + 3e9)
+    found = {(r["document"].rsplit("/", 1)[-1], r["concept"], r["reason"]) for r in company_facts.quarantined_documents(read).collect()}
+    assert found == {("cut.json", None, "document is malformed"), ("good.json", "Broken", "concept is malformed"), ("good.json", "Number", "concept is malformed")}
+
+
+def test_a_failed_publish_leaves_the_old_table(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "out")
+    first, second = summary(spark, *two_years()), summary(spark, *two_years()[:1])
+
+    def publish(df):
+        version = tables.new_version(path)
+        tables.write_summary(df, version)
+        tables.publish_version(spark, path, version)
+
+    publish(first)
+    before = tables.read_summary(spark, path)
+    monkeypatch.setattr(tables, "write_note", lambda *a: (_ for _ in ()).throw(OSError("no move")))
+    with pytest.raises(OSError):
+        publish(second)
+    assert before.count() == tables.read_summary(spark, path).count() == 2
+    monkeypatch.undo()
+    publish(second)
+    # readers that began before still find their version
+    assert tables.read_summary(spark, path).count() == 1 and before.count() == 2
+    publish(second)
+    assert len(list((tmp_path / "out").glob("version-*"))) == 3 - 1 + 1  # the failed one was never named
+    tables.write_note(spark, str(tmp_path / "note"), "a")
+    tables.write_note(spark, str(tmp_path / "note"), "bé")
+    assert tables.read_note(spark, str(tmp_path / "note")) == "bé" and tables.read_note(spark, str(tmp_path / "none")) is None
+
+
+def test_bad_figures_are_not_published(spark, tmp_path):
+    facts = spark.createDataFrame([], "entity string, concept string, unit string, start date, end date, val double, form string, fp string, filed date, accn string")
+    with pytest.raises(Exception, match="empty"):
+        publish_annual_summary(facts, str(tmp_path / "out"))
+    assert not list((tmp_path / "out").glob("version-*"))
+
+
 def test_filing_index(spark, tmp_path):
     recent = {
         "form": ["8-K", "10-K", "10-K"],

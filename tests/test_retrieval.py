@@ -242,3 +242,17 @@ def test_references_without_a_known_filing(spark):
     known = spark.createDataFrame([(7, "Acme", "10-K", "2025-01-01", "u")], "filing_id int, company string, form string, filing_date string, source_url string")
     out = {r["question_id"]: tuple(r)[1:] for r in retrieval.reference_list(answers, hits, known).collect()}
     assert out == {1: ("[1] Acme 10-K — Risk", "Acme 10-K, filed 2025-01-01\nu"), 2: ("[1] — Risk", None)}
+
+
+def test_explained_answers_list_statements_first(spark):
+    rows = [(1, 7, "a [M2] [F1]"), (2, 7, "b [M1][M3] [M9]"), (3, 8, "c [M1]"), (4, 7, "d [M1]")]
+    answers = spark.createDataFrame(rows, "question_id int, filing_id int, answer string")
+    hits = spark.createDataFrame([(q, r) for q in (1, 2, 3) for r in (1, 2, 3)], "question_id int, rank int")
+    known = spark.createDataFrame([(7, "Acme Inc.", "10-K", "2025-10-31", "u")], "filing_id int, company string, form string, filing_date string, source_url string")
+    got = {r["question_id"]: r for r in retrieval.explained_references(answers, hits, known).collect()}
+    statements, discussion = "[F1] Acme Inc. 10-K — Financial Statements, filed 2025-10-31", "Acme Inc. 10-K — Item 7. Management’s Discussion and Analysis"
+    assert got[1]["reference_lines"] == f"{statements}\n[M2] {discussion}"
+    assert got[2]["reference_lines"] == f"{statements}\n[M1] {discussion}\n[M3] {discussion}"
+    assert got[2]["referenced_answer"] == f"b [M1][M3] [M9]\n\nReferences:\n{statements}\n[M1] {discussion}\n[M3] {discussion}\nu"
+    assert got[3]["reference_lines"] == "[F1] — Financial Statements\n[M1] — Item 7. Management’s Discussion and Analysis"
+    assert got[4]["reference_lines"] == statements

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,6 +51,33 @@ def test_chunks_of_an_empty_text(spark):
     assert chunk_list(spark, "", 10, 1) == [""]
 
 
+def seconds(df):
+    """The quicker of two runs."""
+    def run():
+        begin = time.perf_counter()
+        df.write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - begin
+
+    run()
+    return min(run(), run())
+
+
+def test_packing_is_linear(spark):
+    """A text of 100,000 sentences takes about ten times as long as one of 10,000, and packs the same."""
+    text = lambda n: " ".join(f"Sentence number {i} é is of some length." for i in range(n))
+    assert chunk_list(spark, text(5_000), 300, 2) == packed(text(5_000), 300, 2)
+    texts = {n: spark.createDataFrame([(1, text(n))], "id int, text string").coalesce(1).cache() for n in (10_000, 100_000)}
+    short, long = (seconds(chunking.chunk_text(df, 300, 1)) for df in texts.values())
+    assert long < 25 * max(short, 0.1)
+
+
+def test_term_pairs_are_linear(spark):
+    """The words of a text are read once, not once per position."""
+    texts = {n: spark.createDataFrame([(" ".join(f"word{i % 5000}" for i in range(n)),)], "t string").coalesce(1).cache() for n in (2_000, 20_000)}
+    short, long = (seconds(df.select(X.ngrams(X.tokens(F.col("t"))))) for df in texts.values())
+    assert long < 25 * max(short, 0.1)
+
+
 def test_abbreviations_do_not_end_sentences(spark):
     text = "Acme Inc. is exposed to the U.S. dollar. Other currencies matter."
     assert one(spark, text, X.split_sentences_keeping) == [
@@ -74,6 +102,33 @@ def test_markup_to_text(spark):
     assert one(spark, page, html_to_text) == "T&C resul ts 5 < 6 can be and the"
 
 
+@pytest.mark.parametrize(
+    "page, expected",
+    [
+        ("<p title=\"a > b\" class='x>y'>shown</p>", "shown"),
+        ("a<script>var x = '</p>'; if (a < b) go()", "a"),
+        ("a<script>x</SCRIPT >b<style>p > q {}</style>c<template>d", "a b c"),
+        ("a <b title=\"never ends>bold</b> c", "a bold c"),
+        ("1 < 2 and a<!-- <p> -- > hidden --> c <!-- open", "1 < 2 and a c"),
+        ("x <a href='?q=\"'>link</a> y", "x link y"),
+        ("<" + "a 'b>' " * 5_000 + ">" + " end", None),
+        ("<a " + '"x" ' * 100_000 + ">end", "end"),
+        ("<script>" + "<x " * 300_000, ""),
+    ],
+)
+def test_tags_are_read_as_a_browser_does(spark, page, expected):
+    """Quoted values, raw text elements, comments; texts that would exhaust a recursive scanner."""
+    got = one(spark, page, html_to_text)
+    assert got == expected if expected is not None else got.endswith("end")
+
+
+def test_every_named_reference(spark):
+    from html.entities import html5
+
+    text = " ".join(f"&{name}" for name in html5) + " &notit; &copy2024 &#8364 &#x20AC; &nosuch; &"
+    assert one(spark, text, unescape_html) == html.unescape(text)
+
+
 def test_sections_skip_the_table_of_contents(spark):
     filler = "Nothing to see. " * 60
     body = (
@@ -132,6 +187,21 @@ def test_parse_evidence(spark):
     }
 
 
+def test_evidence_is_parsed_in_its_row(spark):
+    """No exchange; headings and labels that repeat, other sections, blanks, very many lines."""
+    text = "Label: lost\nFY2024\n A: 1 \nB: 2\nno colon\nFY2025\nA: 3\nFY2024\nA: 4\nC: x: y\nA: 5\nOverall change one:\nD: 6\nSource: z\nE: 7\nOverall change two:\nD: 8\nF: 9"
+    many = "FY2020\n" + "\n".join(f"L{i % 700}: {i}" for i in range(30_000))
+    rows = [(1, text), (2, None), (3, ""), (4, many), (5, "Revenue in FY2025: $416.16B")]
+    parsed = generated_text.parse_evidence(spark.createDataFrame(rows, "question_id int, evidence string"))
+    assert "Exchange" not in parsed._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in parsed.collect():
+        got.setdefault(r["question_id"], set()).add((r["kind"], r["fiscal_year"], r["label"], r["value"]))
+    assert got[1] == {("year", 2024, "A", "5"), ("year", 2024, "C", "x: y"), ("year", 2025, "A", "3"), ("overall", None, "D", "8"), ("overall", None, "F", "9")}
+    assert got[5] == {("single", 2025, "Revenue", "$416.16B")} and set(got) == {1, 4, 5}
+    assert got[4] == {("year", 2020, f"L{i % 700}", str(i)) for i in range(30_000 - 700, 30_000)}
+
+
 def test_excerpt_ranks_sentences_by_anchor_hits(spark):
     sentences = ["Rain fell.", "Owls hunt mice.", "Mice fear owls and owls fear none.", "Boats left.", "An owl is a bird."]
     excerpt = one(spark, " ".join(sentences), lambda c: topics.topic_excerpt(c, X.string_array(["owl", "mice"])))
