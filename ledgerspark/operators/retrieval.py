@@ -17,6 +17,8 @@ from ledgerspark.sources.tables import scratch_table
 
 # what rounding may take from a sum of products of unit vectors
 TOLERANCE = 1e-9
+# Postings left aside for each one read, from which finding documents by some terms first is worth it.
+WORTH_SPLITTING = 2
 # Query-vector rows (about 60 bytes each) that are sent whole to every executor at a time.
 BLOCK_ROWS = 1_000_000
 
@@ -69,14 +71,15 @@ def first_guesses(vectors: DataFrame, index: StoredIndex, k: int, query_id: str
 
 
 def split_terms(vectors: DataFrame, floors: DataFrame, index: StoredIndex, query_id: str = "question_id") -> DataFrame:
-    """``vectors`` with ``essential``, ``rest`` and ``floor``.
+    """``vectors`` with ``essential``, ``rest``, ``floor`` and ``df``.
 
     A term adds at most its weight times the largest weight of a document. Terms are summed from the
     smallest such bound; as long as the sum stays under the question's floor, a document that holds
     none of the other terms can't be a hit. ``rest`` is what the terms left aside may add together.
     """
     keys = list(index.spec.scope)
-    known = vectors.join(index.heads.select(*keys, "term", "largest"), [*keys, "term"]).join(floors, query_id, "left")
+    largest = index.heads.select(*keys, "term", "largest").join(index.vocabulary.select(*keys, "term", "df"), [*keys, "term"])
+    known = vectors.join(largest, [*keys, "term"]).join(floors, query_id, "left")
     bound = known.withColumns(
         {"_bound": F.col("query_weight") * F.col("largest"), "floor": F.coalesce("floor", F.lit(0.0))}
     )
@@ -85,7 +88,9 @@ def split_terms(vectors: DataFrame, floors: DataFrame, index: StoredIndex, query
     split = summed.withColumn("essential", F.col("_sum") + TOLERANCE >= F.col("floor"))
     whole = Window.partitionBy(query_id)
     rest = F.coalesce(F.max(F.when(~F.col("essential"), F.col("_sum"))).over(whole), F.lit(0.0))
-    return split.withColumn("rest", rest).select(*keys, query_id, "term", "query_weight", "essential", "rest", "floor")
+    return split.withColumn("rest", rest).select(
+        *keys, query_id, "term", "query_weight", "essential", "rest", "floor", "df"
+    )
 
 
 def candidates(terms: DataFrame, index: StoredIndex, query_id: str = "question_id") -> DataFrame:
@@ -94,7 +99,7 @@ def candidates(terms: DataFrame, index: StoredIndex, query_id: str = "question_i
     The corpus stays in its buckets, no pair is shuffled, and what can't be a hit is dropped in place.
     """
     keys, doc = list(index.spec.scope), index.doc_id
-    asked = F.broadcast(terms.filter("essential").drop("essential"))
+    asked = F.broadcast(terms.filter("essential").drop("essential", "df"))
     pairs = index.forward.join(asked, [*keys, "term"])
     summed = pairs.groupBy(*keys, doc, query_id).agg(
         F.sum(F.col("weight") * F.col("query_weight")).alias("partial"), F.max("rest").alias("rest"), F.max("floor").alias("floor")
@@ -109,7 +114,11 @@ def pruned_scores(queries: DataFrame, index: StoredIndex, k: int, query_id: str,
        best of them is beaten or met by every hit.
     2. Terms that can't lift a document over the floor by themselves are left aside (the common ones,
        with most postings); documents are found by the essential ones only.
-    3. What could still reach the floor with the terms left aside is scored over those too.
+    3. What could still reach the floor with the terms left aside is scored over those too, from the
+       side of the documents or of the terms, whichever has fewer rows.
+
+    Where hardly any postings would be left aside, all terms are summed at once and only what reaches
+    the floor goes on. Either way no more postings are read than a question's terms have.
     """
     keys, doc = list(index.spec.scope), index.doc_id
     weighed = query_vectors(queries, index, query_id, text).withColumnRenamed("weight", "query_weight")
@@ -119,8 +128,19 @@ def pruned_scores(queries: DataFrame, index: StoredIndex, k: int, query_id: str,
     floors = guesses.withColumn("_n", F.row_number().over(place)).filter(F.col("_n") == k)
     floors = floors.select(query_id, F.col("score").alias("floor"))
     terms = scratch_table(split_terms(vectors, floors, index, query_id))
-    found = candidates(terms, index, query_id)
-    added = scores_of_pairs(found, terms.filter("NOT essential"), index, query_id)
+    work = terms.groupBy("essential").agg(F.sum("df").alias("rows"))
+    rows = {r["essential"]: r["rows"] for r in work.collect()}
+    essential, aside = rows.get(True, 0), rows.get(False, 0)
+    if aside < essential * WORTH_SPLITTING:
+        whole = terms.withColumns({"essential": F.lit(True), "rest": F.lit(0.0)})
+        return candidates(whole, index, query_id).withColumnRenamed("partial", "score")
+    found = scratch_table(candidates(terms, index, query_id))
+    rest = terms.filter("NOT essential")
+    if found.count() * index.terms_per_document <= aside:
+        added = scores_of_pairs(found, rest, index, query_id)
+    else:
+        every = candidates(rest.withColumns({"essential": F.lit(True), "floor": F.lit(0.0)}), index, query_id)
+        added = every.join(found.select(doc, query_id), [doc, query_id], "left_semi").withColumnRenamed("partial", "score")
     parts = found.withColumnRenamed("partial", "score").unionByName(added)
     return parts.groupBy(*keys, doc, query_id).agg(F.sum("score").alias("score"))
 
