@@ -1,6 +1,7 @@
 """Secrets in texts: fixed patterns, and a battery of randomness tests with false-discovery control.
 
-Every long run of key characters is a candidate. Its encoding is inferred from the characters it
+Every run of 16 or more key characters is a candidate, or its parts between the characters that join
+words and paths if no alphabet holds the whole or the whole looks plain. Its encoding is inferred from the characters it
 uses; under "each symbol is drawn uniformly from that alphabet" three tests give p-values: chi-squared
 uniformity, runs about the middle of the alphabet, and lag-one serial correlation. The smallest,
 times three, is the candidate's p-value. Within each length class the Benjamini-Hochberg procedure
@@ -14,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 import string
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,10 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "random")
 MIN_VALUE, MIN_ACCESS = 8, 16
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}")
+PART = re.compile(r"[A-Za-z0-9]{16,}")
+# a run whose own p-value is lower than this is looked at by its parts
+PLAIN = 0.01
 HEX_DIGITS = "0123456789abcdef"
 ALPHABETS = {
     "hex": HEX_DIGITS,
@@ -45,6 +50,7 @@ ALPHABETS = {
     "base64url": string.ascii_uppercase + string.ascii_lowercase + string.digits + "-_",
 }
 _SETS = {name: frozenset(letters) for name, letters in ALPHABETS.items()}
+_UPPER, _LOWER = frozenset(string.ascii_uppercase), frozenset(string.ascii_lowercase)
 _INDEX = {name: {c: i for i, c in enumerate(letters)} for name, letters in ALPHABETS.items()}
 BINS_PER_DECADE, BINS = 20, 400
 
@@ -68,9 +74,11 @@ def base_spans(text: str) -> list[Span]:
 
 
 def infer_encoding(run: str) -> str | None:
-    """The smallest alphabet that holds the run; None for plain numbers and one-case words."""
+    """The smallest alphabet that holds the run; None for plain numbers and letters of one case."""
     symbols = frozenset(run)
-    if not symbols & frozenset(string.digits) or symbols <= frozenset(string.digits):
+    if symbols <= frozenset(string.digits):
+        return None
+    if not symbols & frozenset(string.digits) and not (symbols & _UPPER and symbols & _LOWER):
         return None
     return next((name for name, letters in _SETS.items() if symbols <= letters), None)
 
@@ -132,14 +140,48 @@ def p_bin(p: float) -> int:
     return BINS if p <= 0 else min(BINS, int(-math.log10(p) * BINS_PER_DECADE))
 
 
-def candidates(text: str, taken: list[Span]) -> list[tuple[int, int, str, str]]:
-    """(start, end, run, encoding) of the runs that no base span touches."""
+def _free(spans: list[Span]) -> Callable[[int, int], bool]:
+    """Whether no span touches a stretch of text, asked from left to right."""
+    ends = sorted((s, e) for _, s, e in spans)
+    at = 0
+
+    def free(start: int, end: int) -> bool:
+        nonlocal at
+        while at < len(ends) and ends[at][1] <= start:
+            at += 1
+        # spans of different kinds may overlap, so those begun before the end are looked at in turn
+        i = at
+        while i < len(ends) and ends[i][0] < end:
+            if ends[i][1] > start:
+                return False
+            i += 1
+        return True
+
+    return free
+
+
+def candidates(text: str, taken: list[Span]) -> list[tuple[int, int, int, float]]:
+    """(start, end, length, p) of the runs that no base span touches.
+
+    A run that one alphabet holds and that doesn't look plain at once is tested as a whole. Any other is
+    parted at the characters that join words and paths, and its long enough parts are tested.
+    """
     out = []
+    free = _free(taken)
     for m in CANDIDATE.finditer(text):
         run = m[0].rstrip("=")
+        if not free(m.start(), m.end()):
+            continue
         encoding = infer_encoding(run)
-        if encoding and not any(s < m.end() and m.start() < e for _, s, e in taken):
-            out.append((m.start(), m.end(), run, encoding))
+        p = randomness_p(run, encoding) if encoding else 0.0
+        parts = list(PART.finditer(run))
+        whole = len(parts) == 1 and len(parts[0][0]) == len(run)
+        if encoding and (whole or p >= PLAIN):
+            out.append((m.start(), m.end(), len(run), p))
+            continue
+        for part in parts:
+            if encoding := infer_encoding(part[0]):
+                out.append((m.start() + part.start(), m.start() + part.end(), len(part[0]), randomness_p(part[0], encoding)))
     return out
 
 
@@ -168,9 +210,8 @@ def scan(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") ->
             spans = base_spans(text)
             kinds = [s[0] for s in spans]
             found = []
-            for start, end, run, encoding in candidates(text, spans):
-                b = p_bin(randomness_p(run, encoding))
-                found.append({"start": start, "rank": 3, "end": end, "length_class": length_class(len(run)), "bin": b})
+            for start, end, length, p in candidates(text, spans):
+                found.append({"start": start, "rank": 3, "end": end, "length_class": length_class(length), "bin": p_bin(p)})
             rows.append(
                 {
                     "id": key,

@@ -1,6 +1,7 @@
 import random
 import re
 import string
+import time
 
 from corpus import awkward, documents, empty
 
@@ -72,3 +73,23 @@ def test_awkward_and_empty(spark):
     rows = secrets.find_secrets(awkward(spark)).collect()
     assert len(rows) == 9 and all(r.n_assign == r.n_access == r.n_hex == 0 for r in rows)
     assert secrets.find_secrets(empty(spark)).collect() == []
+
+
+def test_keys_in_paths_prefixes_and_letters_are_found(spark):
+    """Keys glued to a path or a prefix, short ones and ones without digits; words and paths are not."""
+    rng = random.Random(11)
+    key = lambda n, letters=string.ascii_letters + string.digits: "".join(rng.choices(letters, k=n))
+    keys = ["https://host.example/hook/v2-x/" + key(40), key(18), "sk_live_" + key(24), key(28, string.ascii_letters), key(32)]
+    words = ["Zueinlichlichlich", "Thndtionthwhhest", "getElementsByClassNameOfNode", "/usr/local/share/applications-menu/defaults", "2024-10-31T10-15-30-0000"]
+    rows = [(i, f"see {k} there") for i, k in enumerate(keys)] + [(100 + i, f"see {w} there") for i, w in enumerate(words * 12)]
+    found = {r.doc_id: r.n_random for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert all(found[i] == 1 for i in range(5))
+    assert sum(n > 0 for i, n in found.items() if i >= 100) == 0
+
+
+def test_many_spans_and_runs_take_linear_time():
+    text = "a0f4" * 10 + " " + ("0123456789abcdef" * 2 + " X1y2Z3a4B5c6D7e8F9g0 ") * 20_000
+    spans = secrets.base_spans(text)
+    begin = time.perf_counter()
+    assert len(spans) > 20_000 and len(secrets.candidates(text, spans)) == 20_000
+    assert time.perf_counter() - begin < 20
