@@ -50,13 +50,19 @@ DROPPED = frozenset(
 DROPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header menu modal nav navbar navigation newsletter notice notices popup promo related respond share sharing sidebar social sponsor sponsored subscribe widget".split()
 )
+# words that name furniture only if the wrapper doesn't show varying text with few links there
+DOUBTFUL_WORDS = frozenset("banner header menu respond share sharing social widget".split())
+COMMENT_WORDS = frozenset(("comment", "comments", "disqus"))
 CONTENT = frozenset(("article", "main"))
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
 SIGN = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
 HOST = r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
-DIGITS = re.compile(r"[0-9]+")
+# generated names differ in letters and digits; a run that has a digit is evened out
+DIGITS = re.compile(r"[a-z]*[0-9][a-z0-9]*")
 WORDS = re.compile(r"[a-z]+")
 MAX_DEPTH = 48
+# an element with more different children has those of one tag folded into one, if they are over FOLDED
+WIDEST, FOLDED = 64, 8
 HOSTS_HELD = 2_000
 SALTS = 32
 MAIN_SHARE = 0.6
@@ -64,15 +70,20 @@ MAIN_SHARE = 0.6
 Event = tuple[str, str, str]
 
 
-def signature(name: str, attributes: str) -> tuple[str, bool]:
-    """Name with class and id, numbers evened out; and whether they name something to leave out."""
-    sign, left_out = name, name in DROPPED
+def named_words(name: str, attributes: str) -> frozenset[str]:
+    """The words of an element's class, id and role that may name furniture."""
+    if "=" not in attributes or name in ("html", "body"):
+        return frozenset()
+    return DROPPED_WORDS.intersection(w for _, v in SIGN.findall(attributes) for w in WORDS.findall(v.lower()))
+
+
+def signature(name: str, attributes: str) -> str:
+    """Name with class and id, generated names evened out."""
+    sign = name
     for key, value in SIGN.findall(attributes) if "=" in attributes else ():
         value = DIGITS.sub("0", value.strip("\"'").lower())
         sign += {"class": ".", "id": "#", "role": "@"}[key.lower()] + " ".join(value.split())
-        if name not in ("html", "body") and not DROPPED_WORDS.isdisjoint(WORDS.findall(value)):
-            left_out = True
-    return sign, left_out
+    return sign
 
 
 def events(page: str) -> Iterator[Event]:
@@ -136,17 +147,42 @@ def events(page: str) -> Iterator[Event]:
         yield from close("")
 
 
-# --- wrappers: [signature, required, repeated, chars, constant text or None, grouped, children] ------
+# --- wrappers: [signature, required, repeated, chars, constant text or None, grouped, children,
+# --- pages that held it, chars of links, words that may name furniture] -----------------------------
+
+SIGN_, NEEDED, MANY, CHARS, SAME, GROUPED, CHILDREN, PAGES, LINKS, WORDS_ = range(10)
 
-SIGN_, NEEDED, MANY, CHARS, SAME, GROUPED, CHILDREN = range(7)
 
+def node(sign: str, words: frozenset[str] = frozenset()) -> list:
+    return [sign, True, False, 0, "", False, [], 1, 0, sorted(words)]
 
-def node(sign: str) -> list:
-    return [sign, True, False, 0, "", False, []]
 
+def narrowed(children: list[list]) -> list[list]:
+    """Children of bounded number: many different ones of one tag become one repeated, optional child."""
+    if len(children) <= WIDEST:
+        return children
+    tag = lambda c: re.split(r"[.#@*]", c[SIGN_], maxsplit=1)[0]
+    many = {t for t, n in Counter(map(tag, children)).items() if n > FOLDED}
+    out: list[list] = []
+    folded: dict[str, list] = {}
+    for child in children:
+        t = tag(child)
+        if t not in many:
+            out.append(child)
+        elif t in folded:
+            folded[t][:] = align(folded[t], child, within=True)
+            folded[t][NEEDED], folded[t][MANY] = False, True
+        else:
+            folded[t] = [f"{t}*", False, True, *child[CHARS:]]
+            out.append(folded[t])
+    return out
 
-def align(a: list, b: list) -> list:
-    """The wrapper that matches what either of two wrappers of the same element matches."""
+
+def align(a: list, b: list, within: bool = False) -> list:
+    """The wrapper that matches what either of two wrappers of the same element matches.
+
+    ``within`` one page, the element repeats; otherwise the wrappers are of different pages.
+    """
     out = [
         a[SIGN_],
         a[NEEDED] and b[NEEDED],
@@ -155,6 +191,9 @@ def align(a: list, b: list) -> list:
         a[SAME] if a[SAME] == b[SAME] else None,
         a[GROUPED] or b[GROUPED],
         [],
+        max(a[PAGES], b[PAGES]) if within else a[PAGES] + b[PAGES],
+        a[LINKS] + b[LINKS],
+        sorted({*a[WORDS_], *b[WORDS_]}),
     ]
     theirs = {c[SIGN_]: (i, c) for i, c in enumerate(b[CHILDREN])}
     merged: list[list] = []
@@ -172,11 +211,11 @@ def align(a: list, b: list) -> list:
             if extra[SIGN_] not in used and not any(extra[SIGN_] == c[SIGN_] for c in a[CHILDREN]):
                 merged.append([extra[SIGN_], False, *extra[MANY:]])
                 used.add(extra[SIGN_])
-        merged.append(align(child, other))
+        merged.append(align(child, other, within))
         used.add(child[SIGN_])
         last = max(last, place)
     merged += [[c[SIGN_], False, *c[MANY:]] for c in b[CHILDREN] if c[SIGN_] not in used]
-    out[CHILDREN] = merged
+    out[CHILDREN] = narrowed(merged)
     return out
 
 
@@ -186,24 +225,26 @@ def add_child(parent: list, child: list) -> None:
         if c[SIGN_] == child[SIGN_]:
             if i < len(parent[CHILDREN]) - 1:
                 parent[GROUPED] = True
-            both = align(c, child)
+            both = align(c, child, within=True)
             both[NEEDED], both[MANY] = True, True
             parent[CHILDREN][i] = both
             return
     parent[CHILDREN].append(child)
+    parent[CHILDREN] = narrowed(parent[CHILDREN])
 
 
 def page_wrapper(page: str) -> list:
     """The wrapper of one page: its elements, without inline ones, repetitions folded."""
     stack = [node("")]
-    names = [""]
+    names, links = [""], 0
     for kind, name, value in events(page):
         if kind == "open":
             names.append(name)
             inside = name not in INLINE and len(stack) <= MAX_DEPTH
-            stack.append(node(signature(name, value)[0]) if inside else stack[-1])
+            stack.append(node(signature(name, value), named_words(name, value)) if inside else stack[-1])
+            links += name == "a"
         elif kind == "close":
-            names.pop()
+            links -= names.pop() == "a"
             done = stack.pop()
             if done is not stack[-1]:
                 add_child(stack[-1], done)
@@ -211,21 +252,56 @@ def page_wrapper(page: str) -> list:
             slot = stack[-1]
             slot[SAME] = text if not slot[CHARS] else (slot[SAME] if slot[SAME] == text else None)
             slot[CHARS] += len(text)
+            slot[LINKS] += len(text) if links else 0
     return stack[0]
 
 
-def main_path(wrapper: list) -> tuple[str, list[str]]:
-    """Path of the element that holds the article, and paths whose text is always the same."""
+def main_path(wrapper: list) -> tuple[str, list[str], list[str]]:
+    """Path of the element that holds the article, paths of template text, and paths that aren't furniture.
+
+    A text is the template's if several pages held it and it was always the same. Elements whose names
+    speak of furniture are taken for it, except where the wrapper shows otherwise: doubtful names with
+    text that varies from page to page and is mostly no links, and whatever holds most of the text that
+    varies, unless it is named as comments.
+    """
     constant: list[str] = []
+    kept: list[str] = []
+    masses: dict[str, int] = {}
+
+    def tag_of(n: list) -> str:
+        return re.split(r"[.#@*]", n[SIGN_], maxsplit=1)[0]
+
+    def varying(n: list) -> int:
+        return n[CHARS] if n[SAME] is None or n[PAGES] < 2 else 0
+
+    def summed(n: list) -> tuple[int, int, int]:
+        """(varying characters, characters, characters of links) below an element, tags of furniture left out."""
+        if tag_of(n) in DROPPED or not COMMENT_WORDS.isdisjoint(n[WORDS_]):
+            return 0, 0, 0
+        parts = [summed(c) for c in n[CHILDREN]]
+        return tuple(own + sum(p[i] for p in parts) for i, own in enumerate((varying(n), n[CHARS], n[LINKS])))
+
+    whole = summed(wrapper)[0]
+
+    def is_furniture(n: list) -> bool:
+        if tag_of(n) in DROPPED:
+            return True
+        words = set(n[WORDS_])
+        if not words:
+            return False
+        changing, chars, links = summed(n)
+        if 2 * changing > whole > 0:
+            return False
+        return not (words <= DOUBTFUL_WORDS and n[PAGES] > 1 and changing > 0 and 2 * links < chars)
 
     def walk(n: list, path: str) -> tuple[int, str | None, int]:
         """(characters that vary, path of an article, its characters)"""
-        name = re.split(r"[.#@]", n[SIGN_], maxsplit=1)[0]
-        words = WORDS.findall(n[SIGN_][len(name) :])
-        if path and (name in DROPPED or (name not in ("html", "body") and not DROPPED_WORDS.isdisjoint(words))):
+        if path and is_furniture(n):
             return 0, None, 0
-        own = n[CHARS] if n[SAME] is None else 0
-        if n[CHARS] and n[SAME]:
+        if n[WORDS_]:
+            kept.append(path)
+        own = varying(n)
+        if n[CHARS] and n[SAME] and n[PAGES] > 1:
             constant.append(path)
         best: tuple[str | None, int] = (None, -1)
         for child in n[CHILDREN]:
@@ -233,32 +309,31 @@ def main_path(wrapper: list) -> tuple[str, list[str]]:
             own += chars
             if found is not None and held > best[1]:
                 best = (found, held)
-        if (name in CONTENT or "@main" in n[SIGN_]) and own > best[1]:
+        if (tag_of(n) in CONTENT or "@main" in n[SIGN_]) and own > best[1]:
             best = (path, own)
         masses[path] = own
         return own, best[0], best[1]
 
-    masses: dict[str, int] = {}
     total, article, _ = walk(wrapper, "")
     if article is None:
         # the deepest element with most of the text that varies
         deep = [p for p, m in masses.items() if m >= MAIN_SHARE * total > 0]
         container = [p for p in deep if not re.match(r"(p|h[1-6]|li|tr|td|th)\b", p.rsplit("/", 1)[-1])]
         article = max(container, key=lambda p: (p.count("/"), p), default="")
-    return article, constant
+    return article, constant, kept
 
 
-def extract(page: str | None, path: str, constant: frozenset[str]) -> str:
+def extract(page: str | None, path: str, constant: frozenset[str], kept: frozenset[str] = frozenset()) -> str:
     """Main text of a page, given where its host's wrapper has the article."""
-    blocks, anywhere = _blocks(page or "", path, frozenset())
+    blocks, anywhere = _blocks(page or "", path, frozenset(), kept)
     if not anywhere:
-        blocks, anywhere = _blocks(page or "", None, frozenset())
+        blocks, anywhere = _blocks(page or "", None, frozenset(), kept)
     if not anywhere:
-        blocks, _ = _blocks(page or "", "", constant)
+        blocks, _ = _blocks(page or "", "", constant, kept)
     return "\n".join(blocks)
 
 
-def _blocks(page: str, path: str | None, constant: frozenset[str]) -> tuple[list[str], bool]:
+def _blocks(page: str, path: str | None, constant: frozenset[str], kept: frozenset[str]) -> tuple[list[str], bool]:
     """Text blocks of the elements at ``path`` (None: of any article), and whether there were any."""
     blocks: list[str] = []
     run: list[str] = []
@@ -276,8 +351,12 @@ def _blocks(page: str, path: str | None, constant: frozenset[str]) -> tuple[list
     for kind, name, value in events(page):
         if kind == "open":
             inline = name in INLINE or len(signs) > MAX_DEPTH
-            sign, left_out = signature(name, value)
+            sign = signature(name, value)
             signs.append(signs[-1] if inline else f"{signs[-1]}/{sign}")
+            words = named_words(name, value)
+            # an inline element is no slot of the wrapper; within a sentence a doubtful name isn't enough
+            known = words <= DOUBTFUL_WORDS if inline else signs[-1] in kept
+            left_out = name in DROPPED or bool(words) and not known
             if name not in INLINE:
                 end_block()
             if left_out and not out_at:
@@ -360,19 +439,19 @@ def main_texts(
     def choose(batch: pa.RecordBatch) -> list[dict]:
         out = []
         for host, text in zip(batch["host"].to_pylist(), batch["wrapper"].to_pylist()):
-            path, constant = main_path(json.loads(text))
-            out.append({"w_host": host, "path": path, "constant": constant})
+            path, constant, kept = main_path(json.loads(text))
+            out.append({"w_host": host, "path": path, "constant": constant, "kept": kept})
         return out
 
     # one short row per host; the planner sees its size
-    places = written(map_texts(infer_wrappers(pages), "wrapper", choose, "w_host string, path string, constant array<string>"))
-    known = pages.join(places, F.col("host") == F.col("w_host"), "left").select("id", "url", "html", "path", "constant")
+    places = written(map_texts(infer_wrappers(pages), "wrapper", choose, "w_host string, path string, constant array<string>, kept array<string>"))
+    known = pages.join(places, F.col("host") == F.col("w_host"), "left").select("id", "url", "html", "path", "constant", "kept")
     kind = known.schema["id"].dataType.simpleString()
 
     def body(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [
-            extract(page, path or "", frozenset(constant or ()))
-            for page, path, constant in zip(*(batch[c].to_pylist() for c in ("html", "path", "constant")))
+            extract(page, path or "", frozenset(constant or ()), frozenset(kept or ()))
+            for page, path, constant, kept in zip(*(batch[c].to_pylist() for c in ("html", "path", "constant", "kept")))
         ]
         return pa.RecordBatch.from_arrays([batch["id"], batch["url"], pa.array(texts, pa.string())], names=["id", "url", "text"])
 

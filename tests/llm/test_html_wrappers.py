@@ -1,4 +1,6 @@
 import html
+import json
+import random
 import re
 
 from corpus import SMALL
@@ -75,3 +77,43 @@ def test_broken_markup_and_odd_rows(spark):
 def test_empty_table(spark):
     none = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert web.main_texts(none).collect() == []
+
+
+def test_doubtful_names_are_decided_by_the_wrapper(spark):
+    """Varying text with few links stays whatever its name; links, repeated texts and comments go."""
+    def page(i):
+        block = f"<div class='share-price'><p>The price rose by {i} per cent in the {i}th week.</p></div>"
+        links = f"<div class='share'><a href='/a{i}'>Send number {i}</a> <a href='/b'>Post</a></div>"
+        same = "<div class='social-header'>Follow the site</div>"
+        said = f"<div class='comment-list'><p>Reader {i} says {'a lot ' * 60}</p></div>"
+        return PAGE % f"<article><h1>T{i}</h1><p>Story {i}, with <span class='share-name'>SHR</span>.</p>{block}{links}{same}{said}</article>"
+
+    got = rows(spark, [(f"http://d.example/{i}", page(i)) for i in range(4)])
+    for i in range(4):
+        assert got[i].text == f"T{i}\nStory {i}, with SHR.\nThe price rose by {i} per cent in the {i}th week."
+
+
+def test_pages_of_a_rare_layout_keep_their_texts(spark):
+    """A text seen once is no template: one page of its host is laid out otherwise, another stands alone."""
+    usual = "<div class='page'><div class='top'>Same every time</div><div class='story'><h2>Title {0}</h2><p>{1}</p></div></div>"
+    pages = [(f"http://e.example/{i}", usual.format(i, f"words {i} " * 30)) for i in range(6)]
+    pages += [("http://e.example/odd", "<section><h2>Odd title</h2><p>One paragraph only.</p></section>"), ("http://alone.example/", "<div><h3>Alone</h3><p>A text.</p></div>")]
+    got = rows(spark, pages)
+    assert got[6].text == "Odd title\nOne paragraph only." and got[7].text == "Alone\nA text."
+    assert all(got[i].text.startswith(f"Title {i}\nwords {i}") and "Same" not in got[i].text for i in range(6))
+
+
+def test_generated_names_do_not_grow_the_wrapper():
+    """Names made anew for every page are evened out or folded; no text is lost by it."""
+    rng = random.Random(2)
+    name = lambda: "".join(rng.choices("abcdefghij", k=8))
+    sizes, whole = [], None
+    for n in range(1, 401):
+        body = "".join(f"<div class='x{rng.randrange(10**6)}y {name()}'><p class='{name()}'>text {n} {k}</p></div>" for k in range(5))
+        new = web.page_wrapper(f"<html><body>{body}</body></html>")
+        whole = web.align(whole, new) if whole else new
+        if n in (100, 400):
+            sizes.append(len(json.dumps(whole)))
+    assert sizes[1] < 1.5 * sizes[0] and sizes[1] < 60_000
+    chars = lambda n: n[web.CHARS] + sum(map(chars, n[web.CHILDREN]))
+    assert chars(whole) == sum(len(f"text {n} {k}") for n in range(1, 401) for k in range(5))
