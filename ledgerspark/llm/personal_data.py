@@ -14,6 +14,7 @@ one generalised.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -117,8 +118,31 @@ def term_of(word: str) -> tuple[str, int]:
     return bare.lower(), len(word) - len(word.lstrip(STRIPPED))
 
 
+def merged(spans: list[Span]) -> tuple[list[int], list[int]]:
+    """Begins and ends of the stretches that spans cover, in order and apart."""
+    begins: list[int] = []
+    ends: list[int] = []
+    for _, start, end in sorted(spans, key=lambda s: s[1:]):
+        if ends and start <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            begins.append(start)
+            ends.append(end)
+    return begins, ends
+
+
 def terms_near(text: str, spans: list[Span], reach: int = REACH) -> list[dict]:
-    """Terms of the whole words within ``reach`` code points of a mention, once per entity and place."""
+    """Terms of the whole words within ``reach`` code points of a mention, once per entity and place.
+
+    A word that a span touches is no term; the stretches that spans cover are searched by bisection, so
+    a text of very many mentions takes time in proportion.
+    """
+    begins, ends = merged(spans)
+
+    def touched(start: int, end: int) -> bool:
+        i = bisect_right(ends, start)
+        return i < len(begins) and begins[i] < end
+
     seen, out = set(), []
     for kind, start, end in spans:
         entity = entity_of(kind, text[start:end])
@@ -132,7 +156,7 @@ def terms_near(text: str, spans: list[Span], reach: int = REACH) -> list[dict]:
             if not term or (entity, at) in seen:
                 continue
             stop = at + len(m[0].strip(STRIPPED))
-            if any(s < m.end() and m.start() < e for _, s, e in spans):
+            if touched(m.start(), m.end()):
                 continue
             seen.add((entity, at))
             out.append({"entity": entity, "term": term, "start": at, "end": stop})

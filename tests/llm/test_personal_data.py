@@ -1,4 +1,5 @@
 import re
+import time
 
 from corpus import awkward, documents, empty
 from hypothesis import given, settings
@@ -96,3 +97,20 @@ def test_awkward_and_empty(spark):
     assert same.columns == awkward(spark).columns
     assert sorted(map(repr, same.collect())) == sorted(map(repr, awkward(spark).collect()))
     assert pii.sanitise(empty(spark)).collect() == []
+
+
+def test_very_many_mentions_take_linear_time():
+    """20,000 mentions in one text: seconds, and the same terms as testing every word against every span."""
+    text = " ".join(f"Person{i} wrote to a{i}@b.example, then {i % 250}.1.1.1 said so." for i in range(10_000))
+    begin = time.perf_counter()
+    spans = pii.base_spans(text)
+    near = pii.terms_near(text, spans)
+    assert len(spans) == 20_000 and len(near) > 100_000 and time.perf_counter() - begin < 20
+    short = text[:4_000]
+    few = pii.base_spans(short)
+    touching = lambda t: any(s < t["end"] and t["start"] < e for _, s, e in few)
+    assert not any(map(touching, pii.terms_near(short, few)))
+
+
+def test_stretches_are_merged():
+    assert pii.merged([("ip", 5, 9), ("card", 7, 12), ("email", 20, 22), ("phone", 12, 13)]) == ([5, 20], [13, 22])
