@@ -25,4 +25,4 @@ def test_stages_run_one_after_another(spark):
 
 def test_every_operator_has_one_query():
     names = contract.queries()
-    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 14)) and "pipeline" in names
