@@ -15,8 +15,9 @@ from ledgerspark import constants as C
 from ledgerspark.functions import text as X
 from ledgerspark.operators import topics
 from ledgerspark.operators.nmf import NmfModel
-from ledgerspark.plans.filing_text import topic_model
-from ledgerspark.sources.tables import with_display_fallbacks
+from ledgerspark.plans.filing_text import RISK_SECTION, label_chunks, section_chunks, topic_model
+from ledgerspark.sources.tables import scratch_table, with_display_fallbacks
+from queries import text as text_queries
 from queries import views as V
 
 LANGUAGES = ["es", "en", "fr", "de"]
@@ -147,6 +148,28 @@ def topic_model_components(spark, sf):
     return heads.join(sizes, "component", "left")
 
 
+def filing_topics(spark, sf):
+    """Filings to sections, chunks, a fitted model and labelled chunks, in one job.
+
+    Which theme a chunk gets depends on the fit; that it has one, and that its status follows from its
+    share, does not. The model is fitted to a hundredth here; ``topic_model_shape`` has the whole fit.
+    """
+    key = F.concat_ws(":", "page_id", "chunk_id").alias("chunk_key")
+    chunks = scratch_table(section_chunks(V.filings(spark, sf), RISK_SECTION, 0).select("page_id", "chunk_id", key, "text"))
+    labelled = label_chunks(chunks, topic_model(chunks, doc_id="chunk_key", tolerance=0.01), "chunk_key")
+    low = F.col("topic_share") < C.LOW_CONFIDENCE_SHARE
+    shown = F.when(low, F.lit(C.MIXED_TOPIC_LABEL)).otherwise(F.col("topic_label"))
+    sound = (
+        F.col("topic_label").isin(*C.TOPIC_LABELS.values())
+        & (F.col("display_topic_label") == shown)
+        & (F.col("classification_status") == F.when(low, F.lit("review")).otherwise(F.lit("confident")))
+        & (F.length("excerpt") > 0)
+    )
+    # a share is rounded for display only, so one beside the limit may be shown on its other side
+    edge = F.abs(F.col("topic_share") - C.LOW_CONFIDENCE_SHARE) <= 0.0001
+    return labelled.select("page_id", "chunk_id", F.md5("text").alias("digest"), (sound | edge).alias("labelled"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -163,6 +186,7 @@ QUERIES = {
         topic_representative,
         topic_model_shape,
         topic_model_components,
+        filing_topics,
     )
 }
 
@@ -262,6 +286,14 @@ ORACLES = {
       UNION ALL VALUES ('smallest number of components', {len(C.TOPIC_LABELS)}), ('largest number of components', {len(C.TOPIC_LABELS)}),
         ('rows with a negative weight', 0), ('sweeps with a higher loss', 0), ('fits that reached their tolerance', 1),
         ('share of the chunks'' squares explained, rounded up', 1)""",
+    "filing_topics": text_queries._SECTIONS.rstrip()
+    + f""", sentences AS (SELECT page_id, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS parts
+        FROM cut WHERE reason IS NULL AND section = '{RISK_SECTION}'),
+      packed AS (SELECT page_id, parts, 1 AS i, 1 AS chunk_id, parts[1] AS cur FROM sentences UNION ALL
+        SELECT page_id, parts, i + 1, CASE WHEN length(cur) + 1 + length(parts[i + 1]) > 1500 THEN chunk_id + 1 ELSE chunk_id END,
+          CASE WHEN length(cur) + 1 + length(parts[i + 1]) > 1500 THEN parts[i + 1] ELSE cur || ' ' || parts[i + 1] END
+        FROM packed WHERE i < len(parts))
+      SELECT page_id, chunk_id, md5(arg_max(cur, i)) AS digest, true AS labelled FROM packed GROUP BY page_id, chunk_id""",
     "topic_representative": V.ctes(*_CLASSIFIED)
     + """SELECT CAST(component AS INTEGER) AS component, doc_id, score, substr(text, 1, 500) AS preview FROM (
       SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY component ORDER BY score DESC, doc_id) = 1)
