@@ -1,8 +1,9 @@
 """Token counts of whole texts by a given public tokenizer.
 
 Texts reach Python as Arrow batches and only lengths go back. A byte-level tokenizer never joins
-bytes across a blank that a letter or digit follows, so long texts are cut there; pieces are encoded
-in batches of about equal bytes, and the lengths of pieces seen before come from a bounded memory.
+bytes across a blank that a letter or digit follows, so texts are cut there, however long they are;
+pieces are encoded in batches of about equal UTF-8 bytes, and the lengths of pieces seen before come
+from a bounded memory. A stretch without such a blank is one piece.
 """
 
 from __future__ import annotations
@@ -64,7 +65,7 @@ class TokenCounter:
         held = 0
         for text in texts:
             batch.append(text)
-            held += len(text)
+            held += len(text.encode())
             if held >= self.encode_bytes:
                 lengths += self.encode(batch)
                 batch, held = [], 0

@@ -82,6 +82,16 @@ def test_other_tokenizers(spark, name):
         assert r.over_limit == (r.n_tokens > 512)
 
 
+def test_batches_hold_about_equal_bytes():
+    """Characters of one byte and of four weigh what they are; a long text is a batch of its own."""
+    small = TokenCounter(PATH, encode_bytes=400)
+    sizes = []
+    small.encode = lambda texts: sizes.append(sum(len(t.encode()) for t in texts)) or [len(t) for t in texts]
+    texts = ["a" * 40] * 30 + ["😀" * 10] * 30 + ["é" * 3_000] + ["b"] * 5
+    assert small._encode_balanced(texts) == [len(t) for t in texts]
+    assert sizes[:6] == [400] * 6 and sizes[6] == 6_000 and sum(sizes) == sum(len(t.encode()) for t in texts)
+
+
 def test_tokens_of_awkward_and_empty(spark):
     rows = count_tokens(awkward(spark), PATH).collect()
     assert len(rows) == 9
