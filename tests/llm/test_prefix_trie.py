@@ -95,10 +95,10 @@ def test_copies_chunks_and_empty(spark):
 
 
 def test_awkward_rows(spark):
-    """NULLs everywhere, ties, repeated rows, turnless and very long conversations."""
+    """NULLs everywhere, ties, repeated rows, turnless conversations."""
     rows = [(None, 1, "user", "lost", "", 0, ""), (5, None, "a", None, "", 0, ""), (5, None, None, "x", "", 0, ""), (5, None, None, "x", "", 0, ""), (5, 2, "a", "b", "", 0, "")]
     rows += [(c, 0, "user", "only", "", 0, "") for c in (101, 102, 103)]  # regrafted to nothing where h > 0
-    rows += [(200, t, "user", f"{t} " * 3, "", 0, "") for t in range(700)] + [(201, t, "user", f"{t} " * 3, "", 0, "") for t in range(650)]
+    rows += [(200, t, "user", f"{t} " * 3, "", 0, "") for t in range(7)] + [(201, t, "user", f"{t} " * 3, "", 0, "") for t in range(6)]
     sequences = prefix_trie.turn_sequences(spark.createDataFrame(rows, SCHEMA))
     conversations = turns_of(rows)
     conversations[5] = [("", "x"), ("", "x"), ("a", ""), ("a", "b")]  # ties by role
@@ -107,6 +107,15 @@ def test_awkward_rows(spark):
     assert got == brute(regrafted(conversations)) and any(r[1] == 0 and r[7] != prefix_trie.NOTHING for r in got)
 
 
+def test_very_long_conversations(spark):
+    """Thousands of turns, one the beginning of the other, in one container."""
+    rows = [(c, t, "user", f"{t} " * 3, "", 0, "") for c, n in ((200, 3_000), (201, 2_500)) for t in range(n)]
+    nodes = prefix_trie.prefix_trie(prefix_trie.turn_sequences(spark.createDataFrame(rows, SCHEMA))).collect()
+    assert len(nodes) == 3_001 and {r.n_convs for r in nodes if r.depth <= 2_500} == {2}
+    assert {r.n_convs for r in nodes if r.depth > 2_500} == {1} and sum(r.n_children == 0 for r in nodes) == 1
+    assert max(r.saved_tokens for r in nodes) == sum(len(f"{t} " * 3) for t in range(2_500))
+
+
 def test_long_text_counts_code_points(spark):
     rows = [(c, 0, "user", "😀é" * 200_000, "", 0, "") for c in (1, 2)]
     nodes = prefix_trie.prefix_trie(prefix_trie.turn_sequences(spark.createDataFrame(rows, SCHEMA)))
