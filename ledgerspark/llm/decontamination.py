@@ -4,11 +4,15 @@ The inverted index holds the benchmark, not the corpus. Every passage of every d
 overlapping windows twice as long as the longest item, so that any copy of an item lies whole in one.
 Scores are BM25 divided by the score of the item's own text, so one threshold serves all items.
 
-Pruning is exact. Per item the terms of least impact are non-essential; the rest of an item's bound
-must come from its essential terms. Passages are taken in blocks (all passages of a document): an
-item whose essential terms in the whole block, plus the bound of the others, stay under the threshold
-is skipped for the block; what is left is bounded again per passage before its score is computed.
+Pruning is exact. Per item the terms of least impact are non-essential and have no postings; the rest of
+an item's bound must come from its essential terms, whose impacts are scaled so that every item needs a
+sum of 1. A posting list keeps its greatest impact and that of each block of postings. Per passage the
+lists of its terms are walked together: items before the pivot, where greatest impacts first add up to 1,
+are skipped, and so are stretches whose blocks don't reach it.
 Retrieved items are reported if the passage also holds enough of their question and their answer.
+
+Items of fewer than five words say too little for a score. They are reported where whole sentences or
+lines of a text say exactly their words.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 import uuid
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable
 
@@ -32,6 +37,9 @@ MIN_SCORE, MIN_QUESTION, MIN_ANSWER = 0.6, 0.5, 0.5
 OPENED_LATE = 0.5
 SHINGLE, MIN_WORDS = 5, 5
 SHARD_BYTES = 8 << 20
+BLOCK = 64
+# sums of scaled impacts are compared a rounding error below 1; scores are computed anew after that
+NEEDED = 1 - 1e-9
 
 _built: dict[str, "Index"] = {}
 
@@ -84,61 +92,115 @@ class Item:
         return question, answer
 
 
+class Postings:
+    """Items of one term in order, their scaled impacts, and the greatest of all and of each block."""
+
+    __slots__ = ("items", "impacts", "tops", "top")
+
+    def __init__(self, postings: list[tuple[int, float]]):
+        self.items = [i for i, _ in postings]
+        self.impacts = [v for _, v in postings]
+        self.tops = [max(self.impacts[at : at + BLOCK]) for at in range(0, len(postings), BLOCK)]
+        self.top = max(self.tops)
+
+
+def retrieve(lists: list[Postings]) -> list[int]:
+    """Items whose impacts in ``lists`` add up to 1, by block-max WAND."""
+    found = []
+    # (item, place in the list, number of the list): where each list stands
+    stands = [(held.items[0], 0, n) for n, held in enumerate(lists)]
+    while True:
+        stands.sort()
+        bound, last = 0.0, -1
+        for last, (_, _, n) in enumerate(stands):
+            bound += lists[n].top
+            if bound >= NEEDED:
+                break
+        if bound < NEEDED:
+            return found
+        pivot = stands[last][0]
+        while last + 1 < len(stands) and stands[last + 1][0] == pivot:
+            last += 1
+        front = [(bisect_left(lists[n].items, pivot, at), n) for _, at, n in stands[: last + 1]]
+        front = [(at, n) for at, n in front if at < len(lists[n].items)]
+        goal = pivot
+        if sum(lists[n].tops[at // BLOCK] for at, n in front) >= NEEDED:
+            on_pivot = [lists[n].impacts[at] for at, n in front if lists[n].items[at] == pivot]
+            if sum(on_pivot) >= NEEDED:
+                found.append(pivot)
+            goal = pivot + 1
+        else:
+            # no item reaches it before one of these blocks ends or another list joins in
+            ends = [lists[n].items[min((at // BLOCK + 1) * BLOCK, len(lists[n].items)) - 1] + 1 for at, n in front]
+            goal = min(ends + [s[0] for s in stands[last + 1 : last + 2]])
+        moved = [(bisect_left(lists[n].items, goal, at), n) for at, n in front]
+        stands = stands[last + 1 :] + [(lists[n].items[at], at, n) for at, n in moved if at < len(lists[n].items)]
+
+
 class Index:
-    """Inverted lists of the essential terms of one shard of the benchmark."""
+    """Inverted lists of the essential terms of one shard of the benchmark, and its short items."""
 
     def __init__(self, items: list[tuple], frequency: dict[str, int], n_items: int, mean_length: float):
         inverse = {w: math.log(1 + (n_items - n + 0.5) / (n + 0.5)) for w, n in frequency.items()}
         self.items = []
+        self.short: dict[tuple[str, ...], list[Item]] = defaultdict(list)
         longest = SHINGLE
         for item_id, text in items:
             words = terms(text)
-            if len(words) >= MIN_WORDS:
-                self.items.append(Item(item_id, text, words, inverse, mean_length))
-                longest = max(longest, len(words))
+            if not words:
+                continue
+            item = Item(item_id, text, words, inverse, mean_length)
+            if len(words) < MIN_WORDS:
+                self.short[tuple(words)].append(item)
+                continue
+            self.items.append(item)
+            longest = max(longest, len(words))
         self.step, self.width = longest, 2 * longest
-        self.lists: dict[str, list[tuple[int, float]]] = defaultdict(list)
+        held: dict[str, list[tuple[int, float]]] = defaultdict(list)
         for i, item in enumerate(self.items):
             for w, v in item.essential.items():
-                self.lists[w].append((i, v))
-        self.lists = dict(self.lists)
+                held[w].append((i, v / (MIN_SCORE - item.late)))
+        self.lists = {w: Postings(postings) for w, postings in held.items()}
 
     def search(self, text: str | None) -> list[tuple[Item, float, float, float]]:
         """(item, score, question, answer) of every item found in a passage, at its best passage."""
         words = terms(text)
         lists = self.lists
-        hits = [(at, w) for at, w in enumerate(words) if w in lists]
-        bound: dict[int, float] = defaultdict(float)
-        for w in {w for _, w in hits}:
-            for i, v in lists[w]:
-                bound[i] += v
-        found = []
-        for i, most in bound.items():
-            item = self.items[i]
-            if most + item.late >= MIN_SCORE:
-                best = self._best_passage(item, words, [(at, w) for at, w in hits if w in item.essential])
-                if best:
-                    found.append((item, *best))
-        return found
-
-    def _best_passage(self, item: Item, words: list[str], hits: list[tuple[int, str]]) -> tuple | None:
         passages: dict[int, set[str]] = defaultdict(set)
-        for at, w in hits:
-            passages[at // self.step].add(w)
-            if at >= self.step:
-                passages[at // self.step - 1].add(w)
-        best = None
+        for at, w in enumerate(words):
+            if w in lists:
+                p = at // self.step
+                passages[p].add(w)
+                if p:
+                    passages[p - 1].add(w)
+        best: dict[int, tuple[float, float, float]] = {}
         for p in sorted(passages):
-            if sum(item.essential[w] for w in passages[p]) + item.late < MIN_SCORE:
-                continue
-            passage = words[p * self.step : p * self.step + self.width]
-            score = sum(item.impact[w] for w in item.impact.keys() & set(passage))
-            if score < MIN_SCORE:
-                continue
-            question, answer = item.overlaps(passage)
-            if question >= MIN_QUESTION and answer >= MIN_ANSWER and (best is None or score > best[0]):
-                best = (score, question, answer)
-        return best
+            for i in retrieve([lists[w] for w in passages[p]]):
+                item = self.items[i]
+                passage = words[p * self.step : p * self.step + self.width]
+                score = sum(item.impact[w] for w in item.impact.keys() & set(passage))
+                if score < MIN_SCORE or (i in best and score <= best[i][0]):
+                    continue
+                question, answer = item.overlaps(passage)
+                if question >= MIN_QUESTION and answer >= MIN_ANSWER:
+                    best[i] = (score, question, answer)
+        return [(self.items[i], *scores) for i, scores in best.items()] + self._short_items(text)
+
+    def _short_items(self, text: str | None) -> list[tuple[Item, float, float, float]]:
+        if not self.short or not text:
+            return []
+        sentences = (terms(x) for line in text.split("\n") for x in SENTENCE_END.split(line))
+        said = [words for words in sentences if words]
+        found = set()
+        for at in range(len(said)):
+            run: tuple[str, ...] = ()
+            for words in said[at : at + MIN_WORDS]:
+                run += tuple(words[:MIN_WORDS])
+                if len(run) >= MIN_WORDS:
+                    break
+                if run in self.short:
+                    found.add(run)
+        return [(item, 1.0, 1.0, 1.0) for run in sorted(found) for item in self.short[run]]
 
 
 def shards(benchmark: DataFrame, id_column: str, text_column: str, shard_bytes: int) -> Iterable[Callable[[], Index]]:
@@ -194,7 +256,8 @@ def contaminated(
     """(id, item_id, score, question_overlap, answer_overlap): every test item found in a document.
 
     One row per document row and item, at the item's best passage; repeated documents or items are
-    reported each. NULL and empty texts hold nothing and items of under five words are never reported.
+    reported each. NULL and empty texts hold nothing, and items without a word are never reported; a
+    short item has score and overlaps of 1. Very long texts are searched passage by passage to their end.
     No rows come from an empty table on either side; other columns are ignored. The benchmark is
     searched in shards of bounded size, each of which is broadcast; the corpus is never shuffled.
     """
@@ -231,7 +294,11 @@ def decontaminate(
     item_text_column: str = "text",
     shard_bytes: int = SHARD_BYTES,
 ) -> DataFrame:
-    """``documents`` without the rows that hold a test item; columns, repeats and NULL texts stay."""
+    """``documents`` without the rows that hold a test item; columns, repeats and NULL texts stay.
+
+    Very long texts are searched to their end; an empty benchmark leaves all rows, and an empty table
+    stays empty.
+    """
     columns = documents.columns
     names = [f"c{i}" for i in range(len(columns))]
     text = names[columns.index(text_column)]

@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 from corpus import SMALL, awkward, documents, empty
 
 from ledgerspark.llm import decontamination as dec
@@ -58,7 +61,42 @@ def test_question_without_answer_is_kept(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
     found = sorted((r.doc_id, r.item_id) for r in dec.contaminated(docs, items).collect())
-    assert found == [(2, 1), (2, 1)]
+    # the short item is all that document 3 says
+    assert found == [(2, 1), (2, 1), (3, 3)]
+
+
+def test_blocks_and_pivots_lose_nothing():
+    rng = random.Random(4)
+    for trial in range(300):
+        spread = rng.choice([40, 400, 3_000])
+        lists = [
+            [(i, rng.choice([0.01, 0.1, 0.3, 0.6])) for i in sorted(rng.sample(range(spread), rng.randint(1, spread)))]
+            for _ in range(rng.randint(1, 9))
+        ]
+        sums = Counter()
+        for postings in lists:
+            sums.update(dict(postings))
+        expected = sorted(i for i, v in sums.items() if v >= dec.NEEDED)
+        assert dec.retrieve([dec.Postings(p) for p in lists]) == expected
+    assert dec.retrieve([]) == []
+
+
+def test_short_items_are_found_where_a_line_or_sentence_says_them(spark):
+    items = spark.createDataFrame([(1, "Aller\nYes."), (2, "The moon Titan"), (3, "??")], "item_id bigint, text string")
+    rows = [(1, "Rivers. Aller! yes\nmore"), (2, "It is the moon Titan of course."), (3, "so\nthe Moon, Titan.\nso"), (4, "??"), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = sorted((r.doc_id, r.item_id, r.score) for r in dec.contaminated(docs, items).collect())
+    assert found == [(1, 1, 1.0), (3, 2, 1.0)]
+    assert sorted(r.doc_id for r in dec.decontaminate(docs, items).collect()) == [2, 4, 5]
+    assert dec.decontaminate(docs.filter("false"), items).collect() == []
+    assert dec.decontaminate(docs, items.filter("false")).count() == 5
+
+
+def test_a_very_long_text_is_searched_to_its_end(spark):
+    docs = spark.createDataFrame([(1, FILLER * 2_000 + ITEMS[0][1]), (2, FILLER * 2_000)], "doc_id bigint, text string")
+    items = spark.createDataFrame(ITEMS[:2], "item_id bigint, text string")
+    assert [(r.doc_id, r.item_id) for r in dec.contaminated(docs, items).collect()] == [(1, 1)]
+    assert [r.doc_id for r in dec.decontaminate(docs, items).collect()] == [2]
 
 
 def test_awkward_and_empty(spark):
