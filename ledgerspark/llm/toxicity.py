@@ -3,15 +3,16 @@
 The features are densities of a weighted lexicon (in all, of its strong entries, in the densest
 stretch, in disguised spelling), its nearness to second-person words, capitals, punctuation and rates
 of obfuscated words. The lexicon, of words and word beginnings, is learned from labelled training rows
-too, on a part of them that neither the trees nor the calibration see: an entry's weight is its log
-odds to occur in toxic texts, and it enters if the odds are sure enough.
+too: an entry's weight is its log odds to occur in toxic texts, and it enters if the odds are sure enough.
+It is cross-fitted: training rows are dealt into folds, and the trees and the calibration see each row
+through the lexicon of the other folds; new texts are read with the lexicon of all rows.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +28,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from ledgerspark.llm.common import map_texts, reachable, uniform, written
 
 TRAIN_ROWS = 24_000
-LEXICON_SHARE, TREE_SHARE = 0.5, 0.85
+FOLDS, TREE_SHARE = 5, 0.7
 LEXICON_SIZE, MIN_TOXIC_DOCUMENTS, MIN_SURE_ODDS = 4_000, 3, 1.2
 LEVELS_PER_UNIT, LEVELS = 4, 31
 STRONG = 3.0
@@ -177,7 +178,7 @@ class ToxicityModel:
         if self.trees is None:
             scored = source.withColumn("score", F.lit(self.constant))
         else:
-            scored = self._calibrated(_featured(source, self.lexicon, "id", "text_hash"))
+            scored = self._calibrated(_featured(source, [self.lexicon], "id", "text_hash"))
         return scored.select(
             "id", "text_hash", "score", F.when(F.col("score") >= PREDICT_AT, 1).otherwise(0).alias("predicted")
         )
@@ -207,15 +208,17 @@ def _with_features(rows: DataFrame, lexicon: dict[str, int], text: str) -> DataF
     return map_texts(rows, text, body, StructType([*rows.schema.fields, StructField("x", ArrayType(DoubleType()))]))
 
 
-def _featured(rows: DataFrame, lexicon: dict[str, int], *keys: str) -> DataFrame:
-    """``rows`` with the features as array x in place of the text."""
+def _featured(rows: DataFrame, lexicons: list[dict[str, int]], *keys: str) -> DataFrame:
+    """``rows`` with the features as array x in place of the text; key fold, if any, picks the lexicon."""
     kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
-    sent = rows.sparkSession.sparkContext.broadcast(lexicon)  # LEXICON_SIZE entries at most
-    state: dict[str, WordCodes] = {}
+    sent = rows.sparkSession.sparkContext.broadcast(lexicons)  # LEXICON_SIZE entries each at most
+    state: list[WordCodes] = []
 
     def body(batch: pa.RecordBatch) -> pa.RecordBatch:
-        codes = state.setdefault("codes", WordCodes(sent.value))
-        x = [features(t, codes) for t in batch["text"].to_pylist()]
+        if not state:
+            state.extend(map(WordCodes, sent.value))
+        fold = batch["fold"].to_pylist() if "fold" in keys else [0] * batch.num_rows
+        x = [features(t, state[f]) for t, f in zip(batch["text"].to_pylist(), fold)]
         return pa.RecordBatch.from_arrays(
             [*(batch[k] for k in keys), pa.array(x, pa.list_(pa.float64()))], names=[*keys, "x"]
         )
@@ -223,56 +226,72 @@ def _featured(rows: DataFrame, lexicon: dict[str, int], *keys: str) -> DataFrame
     return map_texts(rows.select(*keys, "text"), "text", body, f"{kinds}, x array<double>")
 
 
-def learn_lexicon(rows: DataFrame, size: int = LEXICON_SIZE) -> dict[str, int]:
-    """Levels of the words and beginnings that training rows (text, label) show more if they are toxic.
+def learn_lexicons(rows: DataFrame, folds: int = FOLDS, size: int = LEXICON_SIZE) -> list[dict[str, int]]:
+    """Levels of the words and beginnings that training rows (text, label, fold) show more if they are toxic.
 
-    A level is the log odds of an occurrence times LEVELS_PER_UNIT; two standard errors of it, from the
-    numbers of texts, are granted to chance.
+    One lexicon per fold, from the rows of the others, and last that of all rows. A level is the log odds
+    of an occurrence times LEVELS_PER_UNIT; two standard errors of it, from the numbers of texts, are
+    granted to chance. The rows are read once: a fold's counts are taken off the whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            times, texts = (Counter(), Counter()), (Counter(), Counter())
-            for text, label in zip(batch["text"].to_pylist(), batch["label"].to_pylist()):
+            times: dict[tuple[int, int], Counter] = defaultdict(Counter)
+            texts: dict[tuple[int, int], Counter] = defaultdict(Counter)
+            for text, label, fold in zip(*(batch[c].to_pylist() for c in ("text", "label", "fold"))):
                 held = Counter()
                 for word, n in Counter(map(plain, (text or "").split())).items():
                     for e in entries(word) if len(word) > 2 else ():
                         held[e] += n
-                times[label].update(held)
-                texts[label].update(held.keys())
-            for label, counts in enumerate(times):
+                times[label, fold].update(held)
+                texts[label, fold].update(held.keys())
+            for (label, fold), counts in times.items():
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(counts.keys(), pa.string()),
                         pa.array([label] * len(counts), pa.int32()),
+                        pa.array([fold] * len(counts), pa.int32()),
                         pa.array(counts.values(), pa.int64()),
-                        pa.array([texts[label][e] for e in counts], pa.int64()),
+                        pa.array([texts[label, fold][e] for e in counts], pa.int64()),
                     ],
-                    names=["entry", "label", "n", "texts"],
+                    names=["entry", "label", "fold", "n", "texts"],
                 )
 
-    totals = {
-        r["label"]: r["words"]
-        for r in rows.groupBy("label").agg(F.sum(F.size(F.split("text", " "))).alias("words")).collect()
+    words = {
+        (r["label"], r["fold"]): r["words"] or 0
+        for r in rows.groupBy("label", "fold").agg(F.sum(F.size(F.split("text", " "))).alias("words")).collect()
     }
-    toxic, clean = totals.get(1) or 0, totals.get(0) or 0
-    if toxic <= 0 or clean <= 0:
-        return {}
-    of = lambda column, label: F.sum(F.when(F.col("label") == label, F.col(column)).otherwise(0))
+    of = lambda column, label, fold: F.sum(
+        F.when((F.col("label") == label) & (F.col("fold") == fold), F.col(column)).otherwise(0)
+    )
     counted = (
-        reachable(rows.select("text", "label"))
-        .mapInArrow(run, "entry string, label int, n bigint, texts bigint")
+        reachable(rows.select("text", "label", "fold"))
+        .mapInArrow(run, "entry string, label int, fold int, n bigint, texts bigint")
         .groupBy("entry")
-        .agg(of("n", 1).alias("t"), of("n", 0).alias("c"), of("texts", 1).alias("dt"), of("texts", 0).alias("dc"))
+        .agg(
+            *[of("n", label, k).alias(f"n{label}{k}") for label in (0, 1) for k in range(folds)],
+            *[of("texts", label, k).alias(f"d{label}{k}") for label in (0, 1) for k in range(folds)],
+        )
     )
-    odds = F.log((F.col("t") + 0.5) / toxic) - F.log((F.col("c") + 0.5) / clean)
-    sure = F.col("odds") - 2 * F.sqrt(1 / F.col("dt") + 1 / (F.col("dc") + 0.5))
-    chosen = counted.filter(F.col("dt") >= MIN_TOXIC_DOCUMENTS).withColumn("odds", odds).filter(sure >= MIN_SURE_ODDS)
-    ranked = chosen.orderBy(F.desc(F.col("dt") * F.col("odds")), "entry").limit(size)
-    return {
-        r["entry"]: min(LEVELS, max(1, round(r["odds"] * LEVELS_PER_UNIT)))
-        for r in ranked.select("entry", "odds").collect()
-    }
+    over = lambda name, left: sum((F.col(f"{name}{k}") for k in range(folds) if k != left), F.lit(0))
+    counted = written(counted.filter(over("d1", None) >= MIN_TOXIC_DOCUMENTS))
+
+    def lexicon(left: int | None) -> dict[str, int]:
+        clean, toxic = (sum(n for (lab, k), n in words.items() if lab == label and k != left) for label in (0, 1))
+        if toxic <= 0 or clean <= 0:
+            return {}
+        t, c, dt, dc = (over(name, left) for name in ("n1", "n0", "d1", "d0"))
+        odds = F.log((t + 0.5) / toxic) - F.log((c + 0.5) / clean)
+        seen = counted.select("entry", odds.alias("odds"), dt.alias("dt"), dc.alias("dc"))
+        seen = seen.filter(F.col("dt") >= MIN_TOXIC_DOCUMENTS)
+        sure = F.col("odds") - 2 * F.sqrt(1 / F.col("dt") + 1 / (F.col("dc") + 0.5))
+        ranked = seen.filter(sure >= MIN_SURE_ODDS).orderBy(F.desc(F.col("dt") * F.col("odds")), "entry").limit(size)
+        return {
+            r["entry"]: min(LEVELS, max(1, round(r["odds"] * LEVELS_PER_UNIT)))
+            for r in ranked.select("entry", "odds").collect()
+        }
+
+    return [lexicon(left) for left in (*range(folds), None)]
 
 
 def train(
@@ -300,12 +319,16 @@ def train(
     chosen = known.filter(place < min(1.0, train_rows / max(1, n))) if n > train_rows else known
     texts = df.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").alias("text"))
     # the chosen labels are bounded by train_rows
-    rows = texts.join(F.broadcast(chosen), "id").withColumn("part", uniform(F.lit(5), F.col("id")))
+    rows = texts.join(F.broadcast(chosen), "id").withColumns(
+        {
+            "part": uniform(F.lit(5), F.col("id")),
+            "fold": F.floor(uniform(F.lit(7), F.col("id")) * FOLDS).cast("int"),
+        }
+    )
     rows = written(rows)
-    lexicon = learn_lexicon(rows.filter(F.col("part") < LEXICON_SHARE))
-    rest = _featured(rows.filter(F.col("part") >= LEXICON_SHARE), lexicon, "id", "label", "part")
-    rest = written(rest.coalesce(4))
-    grown, held = rest.filter(F.col("part") < TREE_SHARE), rest.filter(F.col("part") >= TREE_SHARE)
+    *others, lexicon = learn_lexicons(rows)
+    seen = written(_featured(rows, others, "id", "label", "part", "fold").coalesce(4))
+    grown, held = seen.filter(F.col("part") < TREE_SHARE), seen.filter(F.col("part") >= TREE_SHARE)
     both = lambda part: part.select("label").distinct().count() == 2
     if not both(grown) or not both(held):
         rate = known.agg(F.coalesce(F.avg("label"), F.lit(0.0))).first()[0]
@@ -314,7 +337,7 @@ def train(
         featuresCol="vector", labelCol="label", maxIter=12, maxDepth=3, stepSize=0.3, seed=1, maxBins=32
     ).fit(grown.withColumn("vector", array_to_vector("x")))
     raw = _raw_scores(trees, held).select("raw", F.col("label").cast("double").alias("label"))
-    # clean texts added at the top: few labels can't make a sure verdict
+    # the rule of succession: clean texts added at the top, as few labels can't make a sure verdict
     doubt = df.sparkSession.createDataFrame([(1.0, 0.0)] * DOUBTS, "raw double, label double")
     raw = raw.unionByName(doubt)
     calibration = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="calibrated").fit(raw)

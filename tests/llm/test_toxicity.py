@@ -20,6 +20,24 @@ def test_held_out_accuracy(spark):
     assert hit / max(1, sum(p for _, p in held)) >= 0.95 and hit / sum(t for t, _ in held) >= 0.85
 
 
+def test_few_labels_still_rank_texts(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    rows = [(truth[r.doc_id], r.score) for r in tox.toxicity(docs, labels).collect() if r.held_out and r.doc_id in truth]
+    toxic, clean = ([s for t, s in rows if t == label] for label in (1, 0))
+    wins = sum((a > b) + 0.5 * (a == b) for a in toxic for b in clean)
+    assert wins / (len(toxic) * len(clean)) >= 0.85
+
+
+def test_lexicons_leave_their_fold_out(spark):
+    rows = [(f"plain{k} words vile" if label else "plain words", label, k % 5) for k in range(50) for label in (0, 1)]
+    rows += [("only here " * 3 + "nasty", 1, 2)] * 4 + [(None, 0, 1), ("", 1, 4)]
+    lexicons = tox.learn_lexicons(spark.createDataFrame(rows, "text string, label int, fold int"))
+    assert len(lexicons) == 6 and all("vile" in lexicon for lexicon in lexicons)
+    assert ["nasty" in lexicon for lexicon in lexicons] == [True, True, False, True, True, True]
+    assert tox.learn_lexicons(spark.createDataFrame([("a bcd", 0, 0)], "text string, label int, fold int")) == [{}] * 6
+
+
 def test_features():
     codes = tox.WordCodes({"idiot": 16, "mora*": 8})
     x = dict(zip(tox.FEATURES, tox.features("You IDIOT!! 1d10t moralo aaargh plain words here", codes)))
