@@ -30,7 +30,7 @@ def test_few_labels_still_rank_texts(spark):
 
 
 def test_lexicons_leave_their_fold_out(spark):
-    rows = [(f"plain{k} words vile" if label else "plain words", label, k % 5) for k in range(50) for label in (0, 1)]
+    rows = [(f"plain{k} words vile" if label else "plain words " * 50, label, k % 5) for k in range(50) for label in (0, 1)]
     rows += [("only here " * 3 + "nasty", 1, 2)] * 4 + [(None, 0, 1), ("", 1, 4)]
     lexicons = tox.learn_lexicons(spark.createDataFrame(rows, "text string, label int, fold int"))
     assert len(lexicons) == 6 and all("vile" in lexicon for lexicon in lexicons)
