@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerspark import constants as C
+from ledgerspark.functions import text as X
 from ledgerspark.operators import nmf, topics
 from ledgerspark.plans.filing_text import label_chunks, section_chunks, topic_model, RISK_SECTION
 
@@ -181,3 +183,23 @@ def test_assignment_is_the_best_and_first(spark, k):
     assert sorted(got) == list(range(k))
     if k < 8:
         assert tuple(got) == max(permutations(range(k)), key=lambda p: (sum(gain[c][t] for c, t in enumerate(p)), [-t for t in p]))
+
+
+def test_costly_weights_are_found_once_per_chunk(spark):
+    """However many columns and sentences read them."""
+    chunks = spark.createDataFrame([(1, "A one. B two.")], "chunk_id int, text string")
+    weights = F.array(*[X.count_occurrences(F.lower("text"), F.lit(f"mark{i}")).cast("double") for i in range(2)])
+    found = topics.classify_chunks(chunks.withColumn("weights", weights), {0: 1, 1: 2}, {1: "x", 2: "y"}, {1: ["one"], 2: ["two"]})
+    plan = found.filter("display_topic_label = 'x'")._jdf.queryExecution().optimizedPlan().toString()
+    # once for the filter, once for the rows it leaves
+    assert plan.count("mark1") <= 2
+
+
+def test_excerpts_of_winners_are_those_of_all(spark):
+    rows = [(i, f"A one {'one ' * (i % 4)}. B two {'two ' * (i % 3)}. C.", [float(i % 4), float(i % 3)]) for i in range(12)]
+    chunks = spark.createDataFrame(rows, "chunk_id int, text string, weights array<double>")
+    classified = lambda df: topics.classify_chunks(df, {0: 1, 1: 2}, {1: "x", 2: "y"}, {1: ["one"], 2: ["two"]}, low_share=0.6)
+    best = topics.best_chunks(classified(chunks))
+    winners = chunks.join(best.select("chunk_id"), "chunk_id", "left_semi")
+    of_all = {tuple(r) for r in topics.best_excerpts(classified(chunks)).collect()}
+    assert {tuple(r) for r in topics.best_excerpts(classified(winners), best=best).collect()} == of_all and len(of_all) == 3
