@@ -316,3 +316,13 @@ def test_a_term_travels_once_per_block(spark):
     terms = {r["term"]: r for r in tfidf.placed_terms(dealt, index.sizes, index.spec, 2).collect()}
     assert sorted(terms["alpha"]["blocks"]) == [0, 1, 2, 3] and terms["alpha"]["df"] == 100
     assert terms["rare"]["blocks"] is None and terms["rare"]["df"] == 1
+
+
+def test_texts_of_hits_are_not_exchanged(spark):
+    """Few hits are sent to the documents, though their number isn't known before they are found."""
+    hits = spark.range(10_000_000).filter("id < 3").selectExpr("id AS doc_id", "id AS question_id")
+    docs = spark.range(2_000_000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    found = retrieval.attach_documents(hits, docs)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert sorted((r.doc_id, r.text) for r in found.collect()) == [(0, "text 0"), (1, "text 1"), (2, "text 2")]
