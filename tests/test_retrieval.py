@@ -326,3 +326,30 @@ def test_texts_of_hits_are_not_exchanged(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     assert sorted((r.doc_id, r.text) for r in found.collect()) == [(0, "text 0"), (1, "text 1"), (2, "text 2")]
+
+
+@pytest.mark.parametrize("pairs", [5_000_000, 0])
+def test_equal_questions_are_answered_once_and_the_corpus_is_read_once(spark, random_index, monkeypatch, pairs):
+    """However many rows the questions' vectors have; rows of one question are one question."""
+    docs, queries = random_corpus(1)
+    texts = [t for _, t in queries]
+    asked = [(i, texts[i % len(texts)]) for i in range(4 * len(texts))] + [(9_000, texts[0]), (9_000, texts[0]), (9_001, texts[0]), (9_001, texts[1])]
+    monkeypatch.setattr(retrieval, "PAIR_ROWS", pairs)
+    scored = []
+    for name in ("sharded_scores", "split_scores"):
+        original = getattr(retrieval, name)
+        spy = lambda vectors, *args, original=original, name=name: scored.append((name, vectors.select("_text_id").distinct().count())) or original(vectors, *args)
+        monkeypatch.setattr(retrieval, name, spy)
+    frame = spark.createDataFrame([*asked, (9_002, None)], "question_id int, text string")
+    found = hit_map(retrieval.retrieve(frame, random_index, 3, block_rows=100))
+    merged = {}
+    for q, t in asked:
+        merged[q] = f"{merged[q]} the of {t}" if q in merged else t
+    expected = brute_force(docs, [(q, t) for q, t in merged.items() if q < 9_000], 3)
+    assert {q: h for q, h in found.items() if q < 9_000} == {q: h for q, h in expected.items() if h}
+    assert found[9_000] == found[0] and {len(found[q]) for q in (9_000, 9_001)} == {3} and 9_002 not in found
+    different = len(set(texts)) + 2
+    if pairs:
+        assert len(scored) > 1 and sum(n for _, n in scored) <= different
+    else:
+        assert [name for name, _ in scored] == ["sharded_scores"] and scored[0][1] <= different
