@@ -203,3 +203,31 @@ def test_excerpts_of_winners_are_those_of_all(spark):
     winners = chunks.join(best.select("chunk_id"), "chunk_id", "left_semi")
     of_all = {tuple(r) for r in topics.best_excerpts(classified(chunks)).collect()}
     assert {tuple(r) for r in topics.best_excerpts(classified(winners), best=best).collect()} == of_all and len(of_all) == 3
+
+
+@pytest.mark.parametrize("limit", [nmf.BROADCAST_BYTES, 0])
+def test_products_leave_the_weights_where_they_are(spark, monkeypatch, limit):
+    """Many blocks: factors come to the stored weights, a term goes back once per block, and nothing stays."""
+    monkeypatch.setattr(nmf, "BLOCK_WEIGHTS", 100)
+    monkeypatch.setattr(nmf, "BROADCAST_BYTES", limit)
+    weights = random_weights(spark, 6)
+    persisted = len(spark.sparkContext._jsc.getPersistentRDDs())
+    matrix = nmf._Matrix(weights, "doc_id", 12)
+    x = np.zeros((40, 30))
+    for r in weights.collect():
+        x[r["doc_id"], int(r["term"][1:])] = r["weight"]
+    ones = [F.lit(1.0).alias("c0"), F.lit(2.0).alias("c1")]
+    of_docs = matrix.with_terms(matrix.vocabulary.select("term", *ones), 2)
+    of_terms = matrix.with_docs(weights.select("doc_id").distinct().select("doc_id", *ones), 2)
+    got = {r["doc_id"]: r["c1"] for r in of_docs.collect()}
+    assert np.allclose([got[i] for i in range(40)], 2 * x.sum(axis=1))
+    got = {r["term"]: r["c1"] for r in of_terms.collect()}
+    assert np.allclose([got[f"t{j}"] for j in range(30)], 2 * x.sum(axis=0))
+    assert matrix.blocks == 12
+    for product in (of_docs, of_terms):
+        plan = product._jdf.queryExecution().executedPlan().toString()
+        final = plan.split("== Initial Plan ==")[0]
+        assert final.count("Exchange hashpartitioning(block") == 1 and "Bucketed: true" in final
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == persisted
+    matrix.release()
+    assert not spark.catalog.tableExists(matrix.table)
