@@ -353,3 +353,20 @@ def test_equal_questions_are_answered_once_and_the_corpus_is_read_once(spark, ra
         assert len(scored) > 1 and sum(n for _, n in scored) <= different
     else:
         assert [name for name, _ in scored] == ["sharded_scores"] and scored[0][1] <= different
+
+
+def test_terms_travel_packed(spark):
+    """Counts and frequencies go to the terms' and documents' blocks as sorted texts, no row per term."""
+    rows = [(i, "alpha beta gamma " + " ".join(f"w{i * 7 + j}" for j in range(200))) for i in range(60)]
+    index = tfidf.fit_tfidf(spark.createDataFrame(rows, "doc_id int, text string"))
+    terms = spark.createDataFrame([(b, f"t{i:04d}", i) for b in (1, 2) for i in range(500, 0, -1)], "block int, term string, n long").coalesce(1)
+    packed = tfidf.packed_terms(terms, ["block"], "n")
+    assert [(r["block"], r["terms_size"]) for r in packed.orderBy("block").collect()] == [(1, 2999), (2, 2999)]
+    opened = tfidf._opened(packed.toArrow(), ["block"], "n").to_pylist()
+    assert sorted((r["block"], r["term"], r["n"]) for r in opened) == sorted(tuple(r) for r in terms.collect())
+    dealt = tfidf.dealt_words(index.words, 3, "doc_id")
+    placed = tfidf.placed_terms(dealt, index.sizes, index.spec, 3)
+    assert {r["term"]: r["df"] for r in placed.collect()} == {r["term"]: r["df"] for r in index.vocabulary.collect()}
+    # no row per term is exchanged, only packs by their part
+    keys = joined_by_exchange(placed)
+    assert any(k.startswith("_part") for k in keys) and not any(k.startswith("term") for k in keys)
