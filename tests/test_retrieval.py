@@ -370,3 +370,40 @@ def test_terms_travel_packed(spark):
     # no row per term is exchanged, only packs by their part
     keys = joined_by_exchange(placed)
     assert any(k.startswith("_part") for k in keys) and not any(k.startswith("term") for k in keys)
+
+
+@pytest.mark.parametrize("spec", [{}, {"longest_ngram": 3}, {"scope": ("part",)}])
+def test_a_block_counts_its_terms_where_it_is(spark, spec):
+    """Terms become rows when they are counted, not before; equal rows are two documents, null texts none."""
+    rows = [(1, "p0", "alpha beta alpha beta"), (1, "p0", "alpha beta alpha beta"), (2, "p1", "beta gamma alpha"), (3, "p1", None), (4, "p0", "")]
+    index = tfidf.fit_tfidf(spark.createDataFrame(rows, "doc_id int, part string, text string"), tfidf.TfidfSpec(**spec))
+    dealt = tfidf.dealt_words(index.words, 3, "doc_id")
+    placed = tfidf.placed_terms(dealt, index.sizes, index.spec, 2)
+    keys = [*index.spec.scope, "term"]
+    count = lambda df: {tuple(r[c] for c in keys): r["df"] for r in df.collect()}
+    assert count(placed) == count(index.vocabulary)
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "Generate" not in plan
+
+
+@pytest.mark.parametrize("count", [1, 7, 16, 70])
+def test_blocks_have_a_partition_each(spark, count):
+    """By their numbers alone some would meet in one partition and others stay empty."""
+    words = spark.range(40 * count).select(F.col("id").alias("doc_id"), F.array(F.lit("w")).alias("_words"))
+    dealt = tfidf.dealt_words(words, count, "doc_id")
+    met = dealt.select("block", F.spark_partition_id().alias("at")).distinct().collect()
+    assert {r["block"] for r in met} == set(range(count)) == {r["at"] for r in met} and len(met) == count
+
+
+def test_only_different_questions_are_expanded(spark, random_index, monkeypatch):
+    expanded = []
+    original = retrieval.stored_vectors
+    monkeypatch.setattr(retrieval, "stored_vectors", lambda texts, *args: expanded.append(texts.count()) or original(texts, *args))
+    told = []
+    spaced = retrieval.expand_query
+    monkeypatch.setattr(retrieval, "expand_query", lambda text, terms: told.append(1) or spaced(text, terms))
+    asked = spark.createDataFrame([(i, "w1 w2" if i % 2 else "ask w3") for i in range(40)] + [(50, None)], "question_id int, text string")
+    plain = asked.withColumn("text", spaced(F.col("text"), {"ask": "w1 w2"}))
+    found = retrieval.retrieve(asked, random_index, 3, expand={"ask": "w1 w2"})
+    assert hit_map(found) == hit_map(retrieval.retrieve(plain, random_index, 3)) and expanded[0] == 2 and len(told) == 1
+    assert "regexp_replace" not in retrieval.distinct_questions(asked, [], "question_id", "text")[0]._jdf.queryExecution().optimizedPlan().toString()
