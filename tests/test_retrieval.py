@@ -407,3 +407,27 @@ def test_only_different_questions_are_expanded(spark, random_index, monkeypatch)
     found = retrieval.retrieve(asked, random_index, 3, expand={"ask": "w1 w2"})
     assert hit_map(found) == hit_map(retrieval.retrieve(plain, random_index, 3)) and expanded[0] == 2 and len(told) == 1
     assert "regexp_replace" not in retrieval.distinct_questions(asked, [], "question_id", "text")[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_packs_of_a_block_hold_all_its_scopes(spark):
+    """As many packs as blocks have parts, whatever the number of scopes; words are exchanged once."""
+    rows = [(i, f"p{i % 30}", f"alpha beta w{i} w{i % 7}") for i in range(300)]
+    index = tfidf.fit_tfidf(spark.createDataFrame(rows, "doc_id int, part string, text string"), tfidf.TfidfSpec(scope=("part",)))
+    counted = index.counts.groupBy("part", "term").agg(F.count("*").alias("n")).withColumn("block", F.lit(1)).coalesce(1)
+    packed = tfidf.packed_terms(counted, ["block"], "n", ["part"])
+    assert packed.count() == 1
+    opened = tfidf._opened(packed.toArrow(), ["block"], "n", ["part"]).to_pylist()
+    tuples = lambda found: sorted((r["block"], r["part"], r["term"], r["n"]) for r in found)
+    assert tuples(opened) == tuples(counted.collect())
+    documents = index.documents
+    assert len(documents.collect()) == 300
+    plan = documents._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in plan and "Exchange hashpartitioning(part" not in plan
+
+
+def test_terms_are_dealt_as_spark_deals_them(spark):
+    import pyarrow as pa
+
+    texts = ["", "a", "ab", "abc", "abcd", "é", "éé ü", "wörld of words", "x" * 101]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(F.hash("t")).collect()
+    assert tfidf.spark_hashes(pa.array(["other", *texts]).slice(1)).tolist() == [r[0] for r in rows]
