@@ -431,3 +431,27 @@ def test_terms_are_dealt_as_spark_deals_them(spark):
     texts = ["", "a", "ab", "abc", "abcd", "é", "éé ü", "wörld of words", "x" * 101]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(F.hash("t")).collect()
     assert tfidf.spark_hashes(pa.array(["other", *texts]).slice(1)).tolist() == [r[0] for r in rows]
+
+
+@pytest.mark.parametrize("k", [1, 3, 40])
+def test_whole_columns_give_the_sums_of_postings(monkeypatch, k):
+    """Terms of many documents are added as columns; hits are the same whichever terms are."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    there = rng.random((200, 30)) < np.linspace(0.9, 0.01, 30)
+    doc, term = np.nonzero(there)
+    weight = rng.integers(1, 5, len(doc)) / 10
+    postings = pa.table({"doc": pa.array(doc * 7), "term": pa.array(term), "weight": pa.array(weight)})
+    lists = [sorted(rng.choice(30, 6, replace=False).tolist()) for _ in range(50)]
+    asked = pa.table({"q": pa.array(range(50)), "terms": pa.array(lists), "weights": pa.array([[0.5] * 6] * 50)})
+    dense = np.zeros((200, 30))
+    dense[doc, term] = weight
+    found = []
+    for common in (0, 4, 1_000_000):
+        monkeypatch.setattr(retrieval, "COMMON", common)
+        rows = retrieval.best_of_shard(postings, asked, k, "doc", "q").to_pylist()
+        found.append({q: sorted((round(r["score"], 9), r["doc"]) for r in rows if r["q"] == q) for q in range(50)})
+    scores = lambda terms: sorted((round(float(s), 9), i * 7) for i, s in enumerate(dense[:, terms].sum(axis=1) * 0.5) if s)[-k:]
+    assert found[0] == found[1] == found[2] == {q: scores(terms) for q, terms in enumerate(lists)}
