@@ -231,3 +231,37 @@ def test_products_leave_the_weights_where_they_are(spark, monkeypatch, limit):
     assert len(spark.sparkContext._jsc.getPersistentRDDs()) == persisted
     matrix.release()
     assert not spark.catalog.tableExists(matrix.table)
+
+
+@pytest.mark.parametrize("docs", [500_000, 15])
+def test_factors_travel_packed(spark, monkeypatch, docs):
+    """A share of a product is one row per unit and block, whatever the number of its terms and documents."""
+    monkeypatch.setattr(nmf, "BLOCK_WEIGHTS", 100)
+    monkeypatch.setattr(nmf, "RANGE_DOCS", docs)
+    weights = random_weights(spark, 7)
+    x = np.zeros((40, 30))
+    for r in weights.collect():
+        x[r["doc_id"], int(r["term"][1:])] = r["weight"]
+    matrix = nmf._Matrix(weights, "doc_id", 12)
+    assert matrix.ranges == (1 if docs > 40 else 3) and matrix.tasks == matrix.ranges * matrix.parts >= matrix.blocks
+    f, g = np.arange(60.0).reshape(30, 2), np.arange(80.0).reshape(40, 2)
+    terms = matrix.packed_terms(spark.createDataFrame([(f"t{j}", *map(float, f[j])) for j in range(30)], "term string, c0 double, c1 double"), 2)
+    held = matrix.packed_docs(spark.createDataFrame([(i, *map(float, g[i])) for i in range(40)], "doc_id int, c0 double, c1 double"), 2)
+    assert terms.count() <= matrix.parts and held.count() == matrix.doc_names.count()
+    of_docs, of_terms = matrix.of_docs(terms, 2), matrix.of_terms(held, 2)
+    assert of_docs.count() <= matrix.parts * matrix.doc_names.count() and of_terms.count() <= matrix.parts * matrix.ranges
+    rows = {r[0]: list(r)[1:] for r in nmf.rows_of(nmf.added(of_docs, 2), matrix.doc_names, "doc_id", "int", 2).collect()}
+    assert np.allclose([rows[i] for i in range(40)], x @ f)
+    rows = {r[0]: list(r)[1:] for r in nmf.rows_of(nmf.added(of_terms, 2), matrix.term_names, "term", "string", 2).collect()}
+    assert np.allclose([rows[f"t{j}"] for j in range(30)], x.T @ g)
+    matrix.release()
+
+
+def test_a_document_in_one_row_is_fitted_like_its_weights(spark):
+    """Weights come as the index has them, without a row per weight."""
+    weights = random_weights(spark, 8)
+    lists = weights.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("postings"))
+    long, short = (nmf.fit_nmf(rows, 40, k=3, max_sweeps=2, power=2) for rows in (weights, lists))
+    assert np.allclose(long.losses, short.losses)
+    for a, b in zip(factors(long), factors(short)):
+        assert a.keys() == b.keys() and all(np.allclose(a[x], b[x], atol=1e-9) for x in a)
